@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tagloom.llm import embedding_dedup, language_id, substring_dedup, toxicity, url_filter
+from tagloom.llm import decontamination, embedding_dedup, language_id, line_dedup, packing, substring_dedup, toxicity, url_filter
 
-MODULES = (toxicity, language_id, url_filter, embedding_dedup, substring_dedup)
+MODULES = (toxicity, decontamination, packing, language_id, url_filter, embedding_dedup, line_dedup, substring_dedup)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
