@@ -1,12 +1,72 @@
-"""A corpus pipeline: documents in, packed training sequences out."""
+"""A corpus pipeline: documents in, packed training sequences out.
+
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of
+``docs``.  A stage's decisions take effect on its rows:
+
+* language_id drops texts without a letter and texts whose profile is like no
+  learned language (cosine under ``LEAST_COSINE``);
+* line_dedup cuts runs of lines that an earlier document has, and drops a
+  document of which nothing is left;
+* ngram_join keeps the document with the smallest id of each group of near copies;
+* decontamination drops documents that hold a benchmark passage;
+* packing returns the pieces of all remaining documents and their places.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagloom.llm import common, decontamination, language_id, line_dedup, ngram_join, packing
+
+LEAST_COSINE = 0.02
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labelled = language_id.identify(docs)
+    return labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = line_dedup.remove_repeated_lines(docs)
+    emptied = (F.col("_removed") > 0) & (F.trim(F.coalesce("text", F.lit(""))) == "")
+    length = F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    if length is not None:
+        cut = cut.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return cut.where(~emptied).select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    links = ngram_join.link_documents(docs)
+    copies = links.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(docs, common.read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, packing.tokenizer_path())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("ngram_join", dedup_documents),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: Hyperdimensional profiles, suffix ranks and tokenizers have no SQL form; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = common.checkpoint(docs)
+    return docs

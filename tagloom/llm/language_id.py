@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.llm import common as C
 
@@ -140,15 +141,17 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dims: int = DIMENSIONS, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score`` (the cosine, not below 0)."""
+    """``keep`` columns with ``lang_pred`` and ``score`` (the cosine, not below 0), which replace columns of those names."""
     C.importable(docs)
-    kept = [F.col(c) for c in (docs.columns if keep is None else keep)]
-    source = docs.select(*kept, F.col(text_col).alias("_text"))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    inside = text_col in kept  # then the text travels once
+    source = docs.select(*kept) if inside else docs.select(*kept, F.col(text_col).alias("_text"))
+    text_name = text_col if inside else "_text"
     names, matrix = list(prototypes), np.stack([*prototypes.values()]) if prototypes else np.zeros((0, dims), np.float32)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, langs, scores = [t or "" for t in b.column("_text").to_pylist()], [], []
+            texts, langs, scores = [t or "" for t in b.column(text_name).to_pylist()], [], []
             for part in _chunks(texts):
                 bundles, has = profile(texts[part], dims)
                 if not names:
@@ -159,14 +162,10 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 best = cosine.argmax(axis=1)
                 langs += [names[k] if h else "und" for k, h in zip(best.tolist(), has.tolist(), strict=True)]
                 scores += np.where(has, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0).astype(float).tolist()
-            i = b.schema.get_field_index("_text")
-            columns = [c for k, c in enumerate(b.columns) if k != i]
-            fields = [f for k, f in enumerate(b.schema) if k != i]
+            columns, fields = b.columns[: len(kept)], list(b.schema)[: len(kept)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=pa.schema([*fields, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]))
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*source.schema.fields[: len(kept)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return source.mapInArrow(label, schema)
 
 
