@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tagloom.registry import ORACLES, QUERIES
+from tagloom.tasks import lifted
+
+__all__ = ["MODULES", "ORACLES", "QUERIES"]
+
+MODULES = (lifted,)
