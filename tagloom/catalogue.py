@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from tagloom.registry import ORACLES, QUERIES
-from tagloom.tasks import lifted
+from tagloom.tasks import lifted, workloads
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
 
-MODULES = (lifted,)
+MODULES = (lifted, workloads)

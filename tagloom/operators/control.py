@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.nested import Context, InnerBag, InnerScalar, joined
-from tagloom.session import cut
+from tagloom.session import cut, is_cut
 
 State = dict[str, DataFrame]
 
@@ -35,7 +35,8 @@ def lifted_do_while(ctx: Context, state: dict[str, InnerBag | InnerScalar], body
 
     ``body(active, state)`` returns the next state and a condition for each
     active tag; tags whose condition is false are finished.  Each round cuts the
-    plan once for each part of the state, and runs one small action.
+    plan once for each part of the state that the body hasn't cut itself, and runs
+    one small action; rows are parted only in rounds in which a tag finishes.
     """
     active = Context(cut(ctx.tags), ctx.names)
     kinds = {n: type(v) for n, v in state.items()}
@@ -51,11 +52,14 @@ def lifted_do_while(ctx: Context, state: dict[str, InnerBag | InnerScalar], body
             going.known = left
         state = {}
         for n, v in out.items():
+            if left == seen:  # no tag has finished: nothing to part
+                state[n] = v if is_cut(v.df) else kinds[n](going, cut(v.df))
+                continue
             both = cut(joined(v.df, flag, ctx.names))
             finished[n].append(both.where(~F.coalesce("__go", F.lit(False))).drop("__go"))
             if left:
                 rest = both.where("__go").drop("__go")
-                state[n] = InnerBag(going, rest) if kinds[n] is InnerBag else InnerScalar(going, rest)
+                state[n] = kinds[n](going, rest)
         if not left:
             break
         active = going
@@ -66,5 +70,5 @@ def lifted_do_while(ctx: Context, state: dict[str, InnerBag | InnerScalar], body
         df = parts[0]
         for p in parts[1:]:
             df = df.unionByName(p)
-        result[n] = InnerBag(ctx, df) if kinds[n] is InnerBag else InnerScalar(ctx, df)
+        result[n] = kinds[n](ctx, df)
     return result

@@ -20,11 +20,25 @@ def session(name: str = "tagloom", master: str | None = None, **conf: object) ->
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows with a plan that is a scan of a reliable checkpoint (in ``spark.checkpoint.dir``)."""
-    sc = df.sparkSession.sparkContext
+    """The same rows with a plan that is a scan of a reliable checkpoint (in ``spark.checkpoint.dir``).
+
+    A checkpoint keeps the size estimate of the plan that it cuts, and a join's
+    estimate is a product: in a loop its digits double every round.  The scan is
+    therefore made anew from the checkpointed rows, without that estimate.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    kept = df.checkpoint(eager=True)._jdf
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().logical().rdd(), kept.schema(), False), spark)
+    out._tagloom_cut = True
+    return out
+
+
+def is_cut(df: DataFrame) -> bool:
+    """Whether a frame is just what :func:`cut` returned."""
+    return getattr(df, "_tagloom_cut", False)
 
 
 def hinted(df: DataFrame, rows: int | None, strategy: str = "auto") -> DataFrame:
