@@ -34,15 +34,37 @@ UNITS = "km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|l|m
 _NUMBER, _NAME, _UNIT = "\ue001", "\ue002", "\ue003"  #: private-use signs; documents' own ones are blanked
 
 
+_POINT = "\ue004"  #: stands for the point or comma inside a number's value
+_SIGNS = f"{_NUMBER}{_NAME}{_UNIT}{_POINT}"
+_BETWEEN = rf"[^\p{{L}}\p{{M}}\p{{N}}{_SIGNS}]+"
+_NUMBERS = r"[0-9](?<![\p{L}\p{N}.,].)[0-9]*+(?:[.,][0-9]++){0,8}(?![\p{N}])"
+_NAMES = r"\p{Lu}(?<=[\p{Ll},] \p{Lu})\p{Ll}++"
+
+
+def _words(text: Column, keep: bool) -> Column:
+    """Template words of a text; a slot is its kind's sign, with the value behind it if ``keep``.
+
+    Expressions that few texts need run only where a plain search finds a reason.
+    """
+    value = "$0" if keep else ""
+    x = F.when(text.rlike(f"[{_SIGNS}]"), F.translate(text, _SIGNS, "    ")).otherwise(text)
+    x = F.regexp_replace(x, _NAMES, f" {_NAME}{value} ")
+    numbers = F.regexp_replace(x, _NUMBERS, f" {_NUMBER}{value} ")
+    if keep:
+        numbers = F.regexp_replace(numbers, rf"[.,](?<={_NUMBER}[0-9.,]{{0,200}})", _POINT)
+    units = F.regexp_replace(numbers, rf"(?i)({_NUMBER}[^ ]*+ ++)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}{'$2' if keep else ''} ")
+    x = F.when(text.rlike("[0-9]"), units).otherwise(x)
+    return F.array_remove(F.split(F.lower(x), _BETWEEN), "")
+
+
 def tagged(text: Column) -> Column:
-    """Template words of a text as an array; a slot is one word, its kind's sign and then its value."""
-    x = F.translate(text, _NUMBER + _NAME + _UNIT, "   ")
-    x = F.regexp_replace(x, r"(?<=[\p{Ll},] )(\p{Lu}\p{Ll}+)", f" {_NAME}$1 ")
-    x = F.regexp_replace(x, r"(?<![\p{L}\p{N}.,])([0-9]++(?:[.,][0-9]++){0,8})(?![\p{N}])", f" {_NUMBER}$1 ")
-    x = F.lower(x)
-    x = F.when(F.contains(x, F.lit(_NUMBER)), F.regexp_replace(x, rf"({_NUMBER}[^ ]*+ ++)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}$2 ")).otherwise(x)
-    x = F.regexp_replace(x, rf"[^\p{{L}}\p{{M}}\p{{N}}{_NUMBER}{_NAME}{_UNIT}.,]++|[.,](?![0-9])|(?<![0-9])[.,]", " ")
-    return F.when(F.trim(x) == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(x), " +"))
+    """Template words with the slots' values."""
+    return _words(text, True)
+
+
+def template_of(text: Column) -> Column:
+    """Template words of a text, the same as ``template(tagged(text))``."""
+    return _words(text, False)
 
 
 def template(words: Column) -> Column:
@@ -50,14 +72,14 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.rlike(f"^[{_NUMBER}{_NAME}{_UNIT}]"), F.substring(w, 1, 1)).otherwise(w))
 
 
-def windows(words: str, width: int) -> Column:
-    """A hash for each window; short texts have none."""
-    at = F.sequence(F.lit(1), F.size(words) - width + 1)
-    return F.when(F.size(words) >= width, F.transform(at, lambda i: F.xxhash64(F.slice(words, i, width))))
+def windows(hashes: str, width: int) -> Column:
+    """A hash for each window of an array of word hashes; short texts have none."""
+    at = F.sequence(F.lit(0), F.size(hashes) - width)
+    return F.when(F.size(hashes) >= width, F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])))
 
 
 def _all_windows(df: DataFrame, key: str, widths: list[int], place: str) -> DataFrame:
-    out = None
+    out, df = None, df.select(key, F.transform("t", lambda w: F.xxhash64(w)).alias("t"))
     for w in widths:
         part = df.select(key, F.posexplode(windows("t", w)).alias(place, "h")).withColumn("w", F.lit(w))
         out = part if out is None else out.union(part)
@@ -77,7 +99,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     index = C.checkpoint(index.distinct())
     small = index.count() <= broadcast_windows
     words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = _all_windows(words.select("doc_id", template(tagged(F.col("text"))).alias("t")), "doc_id", [width, *short], "pos")
+    found = _all_windows(words.select("doc_id", template_of(F.col("text")).alias("t")), "doc_id", [width, *short], "pos")
     hits = found.join(F.broadcast(index) if small else index, ["w", "h"]).select("doc_id", "item_id", "pos", (F.col("pos") - F.col("ipos")).alias("shift"), "w").distinct()
     island = F.col("pos") - F.row_number().over(W.partitionBy("doc_id", "item_id", "shift", "w").orderBy("pos"))
     runs = hits.withColumn("island", island).groupBy("doc_id", "item_id", "shift", "w", "island").agg(F.min("pos").alias("start"), (F.count("*") + F.col("w") - 1).cast("int").alias("words"))
