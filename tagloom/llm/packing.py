@@ -32,49 +32,73 @@ from pyspark.sql import functions as F
 from tagloom.llm import common as C
 
 LENGTH = 2048
-_BATCH = 6_000_000  #: characters that are tokenised at a time; no text is cut
-_CACHE = 300_000  #: words whose ids a worker remembers
+_BATCH = 4_000_000  #: characters that are tokenised at a time; no text is cut
+_CACHE = 2_000_000  #: words whose ids a worker remembers, about 40 bytes each
 _STATE: dict = {}
 
 
 class Words:
-    """Ids of words, encoded once each."""
+    """Ids of words, encoded once each: sorted word hashes, and for each its ids' place in one flat array."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            self.known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        return [self.known[w] for w in words]
+        self.tokenizer = Tokenizer.from_file(path)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.starts, self.lengths, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray, word) -> np.ndarray:
+        """Indices of (sorted, distinct) words; ``word(k)`` is the text of the k-th, asked for only if it is new."""
+        if len(self.keys) > _CACHE:
+            self._clear()
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        ids: list[list[int]] = []
+        for lo in range(0, len(new), 10_000):
+            ids += [e.ids for e in self.tokenizer.encode_batch([word(k) for k in new[lo : lo + 10_000].tolist()], add_special_tokens=False)]
+        if len(new):
+            lengths = np.fromiter(map(len, ids), np.int32, len(ids))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+            starts = len(self.flat) + np.cumsum(lengths, dtype=np.int64) - lengths
+            where = np.searchsorted(self.keys, keys[new])
+            self.flat = np.concatenate([self.flat, flat])
+            self.keys, self.starts, self.lengths = (np.insert(x, where, y) for x, y in ((self.keys, keys[new]), (self.starts, starts), (self.lengths, lengths)))
+            at = np.searchsorted(self.keys, keys)
+        return at
+
+
+def words_of(path: str) -> Words:
+    """A worker's words; it keeps them from task to task."""
+    if path not in _STATE:
+        _STATE[path] = Words(path)
+    return _STATE[path]
 
 
 def encode_texts(words: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of all texts (each text followed by id 0), and where each text starts (one more entry)."""
-    parts = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
-    sizes = pc.list_value_length(parts).to_numpy().astype(np.int64)
-    coded = pc.list_flatten(parts).dictionary_encode()
-    index = coded.indices.to_numpy().astype(np.int64)
-    ids = words.encode(coded.dictionary.to_pylist())
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-    starts = np.cumsum(lengths) - lengths
-    # id 0 after each text: a word of one id, at the end of each text's words
-    at = np.cumsum(sizes)
-    index = np.insert(index, at, len(ids))
-    lengths, starts = np.append(lengths, 1), np.append(starts, len(flat))
-    flat = np.append(flat, np.uint32(0)).astype("<u4")
-    each = lengths[index]
-    ends = np.cumsum(each)
-    where = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - each - starts[index], each)
-    bounds = np.concatenate([[0], ends[at + np.arange(len(at))]]) if len(at) else np.zeros(1, np.int64)
+    data, offsets = C.string_buffers(texts)
+    begins, ends = C.word_spans(data, offsets)
+    if b"<|" not in data.tobytes():  # special tokens are the only strings whose case counts
+        data = C.LOWER[data]
+    # a comma or full stop behind an ASCII letter is encoded by itself anyhow
+    last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
+    k = np.flatnonzero((ends - begins > 1) & ((last == 44) | (last == 46)) & (before >= 97) & (before <= 122))
+    stops = ends[k]
+    ends[k] -= 1
+    begins, ends = np.insert(begins, k + 1, stops - 1), np.insert(ends, k + 1, stops)
+    keys, first, index = np.unique(C.span_hashes(data, begins, ends), return_index=True, return_inverse=True)
+    raw, lo, hi = data.tobytes(), begins[first], ends[first]
+    index = words.find(keys, lambda k: raw[lo[k] : hi[k]].decode())[index]
+    # id 0 after each text: an item of one id behind each text's words
+    at = np.searchsorted(begins, offsets[1:], "left")
+    lengths, starts = np.insert(words.lengths[index].astype(np.int64), at, 1), np.insert(words.starts[index], at, len(words.flat))
+    flat = np.append(words.flat, np.uint32(0)).astype("<u4")
+    done = np.cumsum(lengths)
+    where = np.arange(int(done[-1]) if len(done) else 0) - np.repeat(done - lengths - starts, lengths)
+    bounds = np.concatenate([[0], done[at + np.arange(len(at))]]) if len(at) else np.zeros(1, np.int64)
     return flat[where], bounds
 
 
@@ -106,15 +130,13 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 def _local(path: str, length: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _STATE:
-            _STATE[path] = Words(path)
-        part, kept = TaskContext.get().partitionId(), []
+        part, kept, words = TaskContext.get().partitionId(), [], words_of(path)
         for b in batches:
             data = b.column(1).fill_null("").cast(pa.large_string())
             size, lo = np.cumsum(pc.binary_length(data).to_numpy(zero_copy_only=False)), 0
             while lo < len(data):
                 hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _BATCH, "right")))
-                ids, bounds = encode_texts(_STATE[path], data.slice(lo, hi - lo))
+                ids, bounds = encode_texts(words, data.slice(lo, hi - lo))
                 n = np.diff(bounds)
                 pieces = -(-n // length)
                 doc = np.repeat(np.arange(hi - lo), pieces)
@@ -125,6 +147,7 @@ def _local(path: str, length: int):
                 crc = [zlib.crc32(raw[a:z]) for a, z in zip(at.tolist(), (at + long * 4).tolist(), strict=True)]
                 kept.append((b.column(0).slice(lo, hi - lo).take(pa.array(doc)), piece, start, long, np.array(crc, np.int64)))
                 lo = hi
+        C.release()
         if not kept:
             return
         ids = pa.concat_arrays([k[0] for k in kept])
