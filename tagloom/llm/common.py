@@ -8,6 +8,9 @@ compressed array for each (batch, bucket) in place of a row for each window.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import os
 from collections.abc import Iterator
@@ -18,6 +21,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.session import cut
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 NULL_ID = np.iinfo(np.int64).max  #: a null id sorts after every other id
 
@@ -50,12 +55,21 @@ def partitions_for(df: DataFrame, target_mb: float = 10.0) -> int:
     return max(conf, min(wanted, 200_000))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint(eager=True)
+#: cuts the lineage by a reliable checkpoint in the folder that all executors share
+checkpoint = cut
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a worker yields; at its end the memory that allocators hold on to goes back, as workers outlive their tasks."""
+    yield from batches
+    release()
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_crc(column: str) -> Column:
@@ -141,12 +155,10 @@ def ids_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.cast(pa.int64()).fill_null(NULL_ID).to_numpy()
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` and the first word of each text (one more entry than texts)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word ``[^\\x20\\x09-\\x0D]+`` of each text starts and ends."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    if lower:
-        data = LOWER[data]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = ~SPACE[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -155,7 +167,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, chun
     last = word.copy()
     last[:-1] &= ~word[1:]
     last[inner - 1] = word[inner - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word and the first word of each text (one more entry than texts)."""
+    starts, ends = word_spans(data, offsets)
+    return span_hashes(LOWER[data] if lower else data, starts, ends, chunk), np.searchsorted(starts, offsets, "left")
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans are in order."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):  # words of about ``chunk`` bytes at a time, as the prefix sums take 8 bytes a byte
@@ -167,7 +189,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, chun
         s, e = starts[at:to] - lo, ends[at:to] - lo
         out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _STEP)
         at = to
-    return out, np.searchsorted(starts, offsets, "left")
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

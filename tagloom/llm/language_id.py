@@ -36,8 +36,7 @@ _STATE: dict = {}
 def _tables() -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """For each code point its lower-case letter, or 0; and the letters' vectors so far."""
     if not _STATE:
-        points = [chr(i) for i in range(0x110000)]
-        low = np.fromiter((ord(c.lower()[0]) if c.isalpha() else 0 for c in points), np.int32, len(points))
+        low = np.fromiter((ord(c.lower()[0]) if c.isalpha() else 0 for c in map(chr, range(0x110000))), np.int32, 0x110000)
         _STATE.update(low=low, vectors={})
     return _STATE["low"], _STATE["vectors"]
 
@@ -130,7 +129,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     rows = (
         labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
         .select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-        .mapInArrow(bundle, "lang string, k int, v double")
+        .mapInArrow(lambda b: C.released(bundle(b)), "lang string, k int, v double")
         .groupBy("lang", "k").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v")))["v"].alias("v"))
         .limit(MAX_LANGUAGES + 1).collect()
     )
@@ -166,7 +165,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=pa.schema([*fields, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]))
 
     schema = T.StructType([*source.schema.fields[: len(kept)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(label, schema)
+    return source.mapInArrow(lambda b: C.released(label(b)), schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -71,11 +71,7 @@ def _lines(min_chars: int):
                 k = inner[:-1][doc] + place  # a line starts behind its document's start or the break before it
                 starts = np.where(place == 0, offsets[:-1][doc], np.append(breaks, 0)[k - 1] + 1)
                 ends = np.where(place == n[doc] - 1, offsets[1:][doc], np.append(breaks, 0)[np.minimum(k, len(breaks))])
-                up, down = C.powers(len(data) + 1)
-                total = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum(C._LETTERS[data] * up[: len(data)], out=total[1:])
-                h = C.mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * C._STEP)
-                del total
+                h = C.span_hashes(data, starts, ends)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 forward, backward = _shortest(points[ends] - points[starts], bounds, min_chars)
                 keep = (forward > 0) | (backward > 0)
@@ -85,7 +81,7 @@ def _lines(min_chars: int):
                 for a in range(0, len(i), 20_000):
                     yield pa.RecordBatch.from_arrays([x.slice(a, 20_000) for x in arrays], ["doc", "pos", "fwd", "bwd", "h"])
 
-    return lines
+    return lambda b: C.released(lines(b))
 
 
 def _inside(forward: np.ndarray, backward: np.ndarray) -> np.ndarray:

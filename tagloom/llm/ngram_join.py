@@ -45,7 +45,7 @@ CELLS, LONG, LONG_CELLS = 64, 1024, 512  #: cells of a bitmap; sets from LONG sh
 BLOCK = 1000
 _LEAF = 16
 _PIVOT, _OWN, _ALL = 0, 1, 2  #: sides of a verification task: pivot (or rest) rows, a block's own rows, rows only to compare with
-_TEXTS = 4_000_000  #: bytes of text that become arrays at a time; no text is cut
+_TEXTS = 2_000_000  #: bytes of text that become arrays at a time; no text is cut
 
 
 def shingle_sets(texts: pa.Array, width: int = WORDS) -> Iterator[np.ndarray]:
@@ -203,7 +203,7 @@ def _documents(width: int):
                 key.append(int(set_hash(s)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64())], ["doc_id", "n", "key"])
 
-    return documents
+    return lambda b: C.released(documents(b))
 
 
 def _prefixes(width: int, percent: int, buckets: int, frequent: np.ndarray):
@@ -245,7 +245,7 @@ def _prefixes(width: int, percent: int, buckets: int, frequent: np.ndarray):
                 data = C.pack(token[lo:hi], index.astype(np.uint32), keys_[used], sizes_[used], maps_[used].reshape(-1), np.concatenate(fine) if fine else np.zeros(0, np.uint8))
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["bucket", "payload"])
 
-    return send
+    return lambda b: C.released(send(b))
 
 
 def _pairs_of_small(groups: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +304,7 @@ def _candidates(percent: int):
             e = np.array(forest.edges)
             yield pa.RecordBatch.from_arrays([pa.array(keys[e[:, 0]]), pa.array(keys[e[:, 1]])], ["u", "v"])
 
-    return find
+    return lambda b: C.released(find(b))
 
 
 def frequent_shingles(docs: DataFrame, width: int, sample_rows: int, share: float, most: int) -> np.ndarray:
@@ -366,7 +366,7 @@ def _verify(width: int, percent: int):
                 vs.append(keys[rows[b]])
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return verify
+    return lambda b: C.released(verify(b))
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = 80, block: int = BLOCK, sample_rows: int = 2000, share: float = 0.003, most_frequent: int = 200_000) -> DataFrame:

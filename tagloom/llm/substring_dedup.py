@@ -144,7 +144,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     batches = 3 * n  # several to a partition, so that partitions even out
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).repartition(n, "b")
     sent = keyed.groupBy("b").applyInArrow(_send(width, n), "bucket int, b int, payload binary").repartition(n, "bucket")
-    answers = sent.mapInArrow(_answer, "b int, bucket int, bits binary").repartition(n, "b")
+    answers = sent.mapInArrow(lambda b: C.released(_answer(b)), "b int, bucket int, bits binary").repartition(n, "b")
     return keyed.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_finish(width, n, with_text), _RESULT)
 
 
