@@ -56,6 +56,13 @@ class LoopParser(Parser):
             self.take(":")
             kind = self.type()
             return ("var", n, kind, self.expr() if self.maybe("=") else None)
+        if self.kind() == "id" and self.tok == "external":  # given by the caller
+            self.take()
+            n = self.name()
+            self.take(":")
+            return ("external", n, self.type())
+        if self.kind() == "id" and self.tok == "def":
+            return self.function()
         if self.tok == "for":
             self.take()
             n = self.pattern()
@@ -99,6 +106,23 @@ class LoopParser(Parser):
 
     extra: tuple = ()
 
+    def function(self):
+        """``def f(a: T, ...): T return e`` (the body may be a block of nothing but that)."""
+        self.take("def")
+        n = self.name()
+        self.take("(")
+        params = self.many(lambda: (self.name(), self.take(":"), self.type())[0], ")")
+        self.take(")")
+        self.take(":")
+        self.type()
+        block = self.maybe("{")
+        self.take("return")
+        e = self.expr()
+        if block:
+            self.maybe(";")
+            self.take("}")
+        return ("def", n, params, e)
+
     def type(self):
         n = self.take() if self.tok != "(" else ""
         if self.maybe("[") or not n and self.maybe("("):
@@ -128,6 +152,13 @@ class Program:
                 self.execute(x, around)
         elif kind == "var":
             self.declare(s)
+        elif kind == "external":
+            if s[1] not in self.env:
+                raise NameError(f"{s[1]} is external, but wasn't given")
+            self.kinds[s[1]] = s[2]
+        elif kind == "def":
+            _, n, params, e = s
+            self.env[n] = lambda *args: Compiler(self.spark, self.env, self.ops).eval(e, Row(self.spark.range(1), dict(zip(params, args, strict=True))))[0]
         elif kind == "for":
             self.execute(s[3], [*around, ("loop", s[1], s[2])])
         elif kind == "if":
