@@ -32,12 +32,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def importable(df: DataFrame) -> DataFrame:
-    """Lets Python workers of a local session import this package, whatever the working folder is."""
+    """Lets Python workers of a local session import this package, whatever the working folder is.
+
+    Rows here are whole documents, so Arrow batches get fewer rows than usual: it
+    is a batch that an executor and its worker each hold in memory.
+    """
     env = df.sparkSession.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_ROWS, "10000") == "10000":  # the default is made for short rows; a caller's own setting stays
+        conf.set(_BATCH_ROWS, "1000")
     return df
 
 
@@ -128,7 +138,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 16)
+        size = max(1 << (n - 1).bit_length(), 1 << 16)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             x = np.full(size, base, np.uint64)
             x[0] = 1

@@ -57,7 +57,7 @@ def _lines(min_chars: int):
         for batch in batches:
             size, lo = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)), 0
             while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 4_000_000, "right")))
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 2_000_000, "right")))
                 part = batch.slice(lo, hi - lo)
                 lo = hi
                 data, offsets = C.string_buffers(part.column(1))
@@ -72,8 +72,9 @@ def _lines(min_chars: int):
                 starts = np.where(place == 0, offsets[:-1][doc], np.append(breaks, 0)[k - 1] + 1)
                 ends = np.where(place == n[doc] - 1, offsets[1:][doc], np.append(breaks, 0)[np.minimum(k, len(breaks))])
                 h = C.span_hashes(data, starts, ends)
-                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                forward, backward = _shortest(points[ends] - points[starts], bounds, min_chars)
+                points = np.zeros(len(data) + 1, np.int32)
+                np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+                forward, backward = _shortest((points[ends] - points[starts]).astype(np.int64), bounds, min_chars)
                 keep = (forward > 0) | (backward > 0)
                 keep |= _inside(forward, backward)
                 i = np.flatnonzero(keep)
@@ -113,13 +114,14 @@ def _double(ranked: DataFrame, step: int) -> DataFrame:
     groups = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1")
     # the window runs over distinct pairs, not over suffixes
     groups = groups.withColumn("up", F.sum("n").over(W.partitionBy("r").orderBy("r2")) - F.col("n"))
+    groups = C.checkpoint(groups)  # a side of its own, so that adaptive execution can split a frequent pair
     return C.checkpoint(pairs.join(groups, ["r", "r2"]).select("doc", "pos", (F.col("r") + F.col("up")).alias("r")))
 
 
 def _later(keyed: DataFrame, keys: list[str]) -> DataFrame:
-    """Of runs with equal keys all but the first."""
-    first = keyed.groupBy(*keys).agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return keyed.join(first, keys).where(F.struct("doc", "pos") > F.col("first")).select("doc", "pos", "len")
+    """Of runs with equal keys all but the first; by place, so that a frequent run needs no join of its own."""
+    first = keyed.groupBy(*keys).agg(F.min(F.struct("doc", "pos")).alias("first"), F.first("len").alias("_len"))
+    return keyed.select("doc", "pos", "len").join(first.select("first.doc", "first.pos", F.col("_len").alias("len")), ["doc", "pos", "len"], "left_anti")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -127,7 +129,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     C.importable(docs)
     source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     lines = C.checkpoint(source.mapInArrow(_lines(min_chars), "doc long, pos int, fwd int, bwd int, h long"))
-    full = C.checkpoint(lines.join(_first_ranks(lines), "h").select("doc", "pos", "fwd", "bwd", "r"))
+    full = C.checkpoint(lines.join(C.checkpoint(_first_ranks(lines)), "h").select("doc", "pos", "fwd", "bwd", "r"))
     ranked = full.select("doc", "pos", "r")
     runs = full.where("fwd > 0").select("doc", "pos", F.col("fwd").alias("len")).union(full.where("bwd > 0").select("doc", (F.col("pos") - F.col("bwd") + 1).alias("pos"), F.col("bwd").alias("len"))).distinct()
     found = [_later(runs.where("len = 1").join(ranked, ["doc", "pos"]), ["r"])]
