@@ -46,6 +46,16 @@ class Bag:
 class Compiler:
     def __init__(self, spark: SparkSession, env: dict[str, object], ops: dict[str, Callable] | None = None):
         self.spark, self.env, self.ops = spark, env, ops or {}
+        self.sources: dict[str, str] = {}  # what each generator's column iterates over
+
+    def source(self, e) -> str:
+        name = f"__g{next(_fresh)}"
+        self.sources[name] = e[1] if e[0] == "var" else e[0]
+        return name
+
+    def lineage(self, df: DataFrame) -> Column:
+        """The generators' elements that a row was made of."""
+        return F.array(*[F.struct(F.lit(self.sources[c]).alias("source"), F.to_json(F.struct(F.col(c).alias("value"))).alias("row")) for c in df.columns if c in self.sources])
 
     # ---- values outside of rows
     def value(self, e):
@@ -127,10 +137,12 @@ class Compiler:
             return (-v if kind == "neg" else ~v), row
         if kind == "field":
             v, row = self.eval(e[1], row)
-            if e[2] in ("length", "size"):
-                return F.size(v), row
-            if e[2] == "head":
-                return (v if not isinstance(v, Bag) else self.first(v)) if isinstance(v, Bag) else F.get(v, F.lit(0)), row
+            if isinstance(v, Bag):
+                if e[2] == "head":
+                    return self.first(v), row
+                raise TypeError(f"a bag has no field {e[2]}")
+            if e[2] in _OF_ARRAYS and isinstance(row.type_of(v), (T.ArrayType, type(None))):
+                return _OF_ARRAYS[e[2]](v), row
             return v.getField(e[2]), row
         if kind == "index":
             v, row = self.eval(e[1], row)
@@ -145,6 +157,12 @@ class Compiler:
                 args.append(v)
             if e[1] == "range":
                 return Bag(self.range_frame(e[2])), row
+            if e[1] == "trace":  # shows a bag; a row's value can only be shown as a column
+                if isinstance(args[0], Bag):
+                    args[0].df.show()
+                else:
+                    print(f"trace: {args[0]}")
+                return args[0], row
             f = self.env.get(e[1])
             if not callable(f):
                 raise NameError(f"unknown function {e[1]!r}")
@@ -186,6 +204,8 @@ class Compiler:
         for a in args:
             x, row = self.eval(a, row)
             more.append(x)
+        if name == "take":
+            return (Bag(v.df.limit(self.scalar(args[0]))) if isinstance(v, Bag) else F.slice(v, F.lit(1), more[0])), row
         f = self.env.get(name) or getattr(F, name)
         return f(v, *more), row
 
@@ -241,7 +261,7 @@ class Compiler:
                 row = row.with_vars(None, {q[1][1]: v}) if isinstance(v, Bag) and q[1][0] == "var" else self.bind(q[1], v, row)
             else:
                 v, row = self.eval(q[2], row)
-                name = f"__g{next(_fresh)}"
+                name = self.source(q[2])
                 if isinstance(v, Bag):
                     side = v.df.withColumnRenamed("value", name)
                     # a marked small side ("<--") stays the optimiser's choice: it knows the size
@@ -286,7 +306,7 @@ class Compiler:
         if len(quals) and quals[0][0] == "gen" and not base.vars:
             first, _ = self.eval(quals[0][2], base)
             if isinstance(first, Bag):  # start from the first bag, not from a product with one row
-                name = f"__g{next(_fresh)}"
+                name = self.source(quals[0][2])
                 base, quals = self.bind(quals[0][1], F.col(name), Row(first.df.withColumnRenamed("value", name), {})), quals[1:]
         row = self.quals(quals, where, base)
         if group:
@@ -427,6 +447,20 @@ class Compiler:
         return Bag(out[names[0]]) if len(names) == 1 else tuple(Bag(out[n]) for n in names)
 
 
+_OF_ARRAYS: dict[str, Callable[[Column], Column]] = {
+    "length": F.size,
+    "size": F.size,
+    "head": lambda v: F.get(v, F.lit(0)),
+    "last": lambda v: F.element_at(v, -1),
+    "tail": lambda v: F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))),
+    "isEmpty": lambda v: F.size(v) == 0,
+    "nonEmpty": lambda v: F.size(v) > 0,
+    "sum": lambda v: monoids.get("+").fold(v),
+    "distinct": F.array_distinct,
+    "reverse": F.reverse,
+}
+
+
 class Row:
     """A row context: a DataFrame and the Column of each variable."""
 
@@ -549,6 +583,33 @@ def query(spark: SparkSession, text: str, explain: bool = False, ops: dict[str,
     return out
 
 
+def debug(spark: SparkSession, text: str, erased: bool = False, **env: object) -> DataFrame:
+    """``value, kept, lineage`` of a select: each result with the generators' elements behind it.
+
+    With ``erased`` rows that the condition drops stay, with ``kept`` false. A
+    grouped select's lineage is that of the whole group.
+    """
+    parser = Parser(text, {n for n in monoids._MONOIDS if n.isidentifier()})
+    e = parser.expr()
+    parser.take("")
+    if e[0] != "select":
+        raise SyntaxError("debug needs a select")
+    _, _, head, quals, where, group, *_ = e
+    compiler = Compiler(spark, env)
+    row = compiler.quals(quals, None if erased else where, Row(spark.range(1).select(F.lit(0).alias("__unit")), {}))
+    kept = F.lit(True)
+    if erased and where:
+        test, row = compiler.eval(where, row)
+        kept = F.coalesce(test, F.lit(False))
+    if group:
+        p, k = group
+        key, row = compiler.eval(k or (("var", p[1]) if p[0] == "var" else ("tuple", [("var", x[1]) for x in p[1]])), row)
+        every = F.array_sort(F.flatten(F.collect_list(compiler.lineage(row.df))))
+        return row.df.where(kept).groupBy(key.alias("value")).agg(F.lit(True).alias("kept"), every.alias("lineage"))
+    value, row = compiler.eval(head, row)
+    return row.df.select(value.alias("value"), kept.alias("kept"), compiler.lineage(row.df).alias("lineage"))
+
+
 def queries(spark: SparkSession, text: str, **env: object) -> list[DataFrame]:
     """Several queries, separated by semicolons."""
     return [query(spark, part, **env) for part in text.split(";") if part.strip()]

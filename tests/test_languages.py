@@ -1,6 +1,6 @@
 import pytest
 
-from tagloom.lang.query import query
+from tagloom.lang.query import debug, define, queries, query
 from tagloom.lang.syntax import Parser
 from tagloom.loops.program import program
 from tagloom.streaming.incremental import monoid_of
@@ -34,6 +34,14 @@ CASES = {
     "repeat s = List(1,2,3) step s.map(x => x+1) until (+/s) > 60": [21, 22, 23],
     "repeat s = S2 step (select x+1 from x <- s) until (+/s) > 100": list(range(7, 17)),
     "let a = 3, b = 4 in a*b": [12],
+    "select (i, xs.sum, xs.size) from (i,_,xs) <- S where xs.nonEmpty && xs.head > 5": [(0, 17, 2), (5, 6, 1), (7, 6, 1)],
+    "select (i, xs.map(x => x*2).sum) from (i,_,xs) <- S where xs.exists(x => x == 9)": [(0, 34)],
+    "select h from (i,_,h::t) <- S where t.size == 2": [2],
+    "select if (n>7) \"big\" else \"small\" from (_,n) <- R where n >= 7": ["big", "big", "small"],
+    "select (k, +/x, count/y) from (_,x) <- R group by k: x%2 from (y,j,_) <- S where j<5 group by k: y%2": [(0, 20, 3), (1, 25, 2)],
+    "(select n from (_,n) <- R where n<4) minus (select i from (i,_,_) <- S where i<2)": [2, 3],
+    "select trace(n) from (_,n) <- R where n member List(1,2,77)": [1, 2],
+    "select x from x <- range(2, 8, 3)": [2, 5, 8],
 }
 
 
@@ -77,3 +85,25 @@ def test_monoid_inference():
     assert monoid_of("select (k, +/v) from (k,v) <- S group by k", "S").kind == "group"
     assert monoid_of("select (a,b) from a <- S, b <- S", "S").kind == "none"
     assert monoid_of("select x from x <- S where x > 2", "S").kind == "bag"
+
+
+def test_lineage_of_a_query(spark, env):
+    rows = debug(spark, "select x from (x,n) <- R, (i,j,_) <- S where n == i && j < 2", **env).collect()
+    assert sorted(r.value for r in rows) == ["x0", "x1"]
+    assert all([s.source for s in r.lineage] == ["R", "S"] for r in rows)
+    everything = debug(spark, "select n from (_,n) <- R where n < 2", erased=True, **env).collect()
+    assert len(everything) == 10 and sum(r.kept for r in everything) == 2
+    groups = debug(spark, "select (k, count/n) from (_,n) <- R group by k: n%2", **env).collect()
+    assert {r.value: len(r.lineage) for r in groups} == {0: 5, 1: 5}
+
+
+def test_macros_and_several_queries(spark, env):
+    f = define("def below(xs: bag, m: Long) = select n from (_,n) <- xs where n < m")
+    assert sorted(r[0] for r in f(spark, env["R"], 3).collect()) == [0, 1, 2]
+    a, b = queries(spark, "count/R; +/(select n from (_,n) <- R)", **env)
+    assert (a.first()[0], b.first()[0]) == (10, 45)
+
+
+def test_user_functions(spark, env):
+    got = query(spark, "select twice(i) from (i,_,_) <- S where i < 2", twice=lambda x: x * 2, **env)
+    assert sorted(r[0] for r in got.collect()) == [0, 2]
