@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from tagloom.lang.query import define, query as ask
 from tagloom.registry import query, table
 
+_WHOLE = "(SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer)"
 _SMALL = "(SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 5 = 0)"
 
 
-def _env(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+def _env(spark: SparkSession, sf: str, whole: bool = False) -> dict[str, DataFrame]:
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
     return {
-        "C": table(spark, sf, "customer").where("c_custkey % 5 = 0").select("c_custkey", "c_name", "c_nationkey", "c_acctbal"),
+        "C": customers if whole else customers.where("c_custkey % 5 = 0"),
         "O": table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"),
         "N": table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"),
         "R": table(spark, sf, "region").select("r_regionkey", "r_name"),
@@ -23,10 +25,16 @@ def _env(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 
 def lang(name: str, text: str, columns: list[str], sql: str, doubles: tuple[str, ...] = (), **more) -> None:
-    """Registers a query text under ``lang_<name>``; its result's columns get these names, sums of doubles are rounded."""
+    """Registers a query text under ``lang_<name>``; its result's columns get these names, sums of doubles are rounded.
+
+    A query over a fifth of the customers is registered over all of them, too, under ``lang_<name>_whole``.
+    """
+    if _SMALL in sql:
+        lang(f"{name}_whole", text, columns, sql.replace(_SMALL, _WHOLE), doubles, **more)
+    whole = _WHOLE in sql
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return ask(spark, text, **_env(spark, sf), **more).toDF(*columns).withColumns({c: F.round(c, 4) for c in doubles})
+        return ask(spark, text, **_env(spark, sf, whole), **more).toDF(*columns).withColumns({c: F.round(c, 4) for c in doubles})
 
     run.__doc__ = text
     query(f"SELECT {', '.join(f'round({c}, 4) AS {c}' if c in doubles else c for c in columns)} FROM ({sql})", f"lang_{name}")(run)
@@ -71,3 +79,8 @@ _rich = define("def rich(xs, least) = select c from (k,c,n,b) <- xs where b > le
 @query(f"SELECT c_name AS value FROM {_SMALL} WHERE c_acctbal > 9800")
 def lang_macro(spark: SparkSession, sf: str) -> DataFrame:
     return _rich(spark, _env(spark, sf)["C"], 9800.0)
+
+
+@query(f"SELECT c_name AS value FROM {_WHOLE} WHERE c_acctbal > 9800")
+def lang_macro_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _rich(spark, _env(spark, sf, True)["C"], 9800.0)

@@ -41,6 +41,12 @@ def loop_word_count(spark: SparkSession, sf: str) -> DataFrame:
     return program(spark, "var C: map[String,Long] = map(); for w in W do C[w] += 1;", W=words)["C"]
 
 
+@query("SELECT k, count(*) AS v FROM (SELECT unnest(string_split(text, ' ')) AS k FROM documents) GROUP BY k")
+def loop_word_count_whole(spark: SparkSession, sf: str) -> DataFrame:
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", " ", -1)).alias("w"))
+    return program(spark, "var C: map[String,Long] = map(); for w in W do C[w] += 1;", W=words)["C"]
+
+
 @query("SELECT k, count(*) AS v FROM (SELECT l_linenumber AS k FROM lineitem) GROUP BY k")
 def loop_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return program(spark, "var H: map[Int,Long] = map(); for p in P do H[p] += 1;", P=table(spark, sf, "lineitem").select("l_linenumber"))["H"]
@@ -123,6 +129,65 @@ def pca_covariance(spark: SparkSession, sf: str) -> DataFrame:
     return arrays.covariance(x, rows, 8).withColumn("v", F.round("v", 8))
 
 
+@query("WITH d AS (SELECT vec_id AS i, unnest(generate_series(0, len(embedding) - 1)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT a.j AS i, b.j AS j, round(covar_samp(a.v, b.v), 8) AS v FROM d a JOIN d b ON a.i = b.i GROUP BY ALL")
+def pca_covariance_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all dimensions of the embeddings."""
+    x = table(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).withColumn("v", F.col("v").cast("double"))
+    x = cut(x.withColumn("j", F.col("j").cast("long")))
+    rows, dims = x.agg(F.countDistinct("i"), F.max("j") + 1).first()
+    return arrays.covariance(x, rows, dims).withColumn("v", F.round("v", 8))
+
+
+# ---------------------------------------------------------------- the same over all cells of supplier x part
+
+
+def _whole_matrix(spark: SparkSession, sf: str, extra: int = 0) -> DataFrame:
+    x = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") + extra).alias("j"), "l_quantity")
+    return cut(x.groupBy("i", "j").agg(F.sum("l_quantity").alias("v")))
+
+
+def _whole_cells(extra: int = 0) -> str:
+    return f"(SELECT l_suppkey AS i, l_partkey + {extra} AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
+
+
+@query(f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {_whole_cells()} a JOIN {_whole_cells(1)} b ON a.j = b.i GROUP BY ALL")
+def loop_matrix_multiply_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells that no product reaches stay absent: explicit zeros would be suppliers x parts many."""
+    m, n = _whole_matrix(spark, sf), _whole_matrix(spark, sf, 1)
+    i, k, j = m.agg(F.max("i"), F.max("j")).first() + n.agg(F.max("j")).first()
+    text = "var R: matrix[Double] = matrix(); for i = 0, ni do for j = 0, nj do for k = 0, nk do R[i,j] += M[i,k]*N[k,j];"
+    return program(spark, text, M=m, N=n, ni=i, nj=j, nk=k)["R"]
+
+
+@query(f"SELECT i, j, a.v + b.v AS v FROM {_whole_cells()} a JOIN {_whole_cells()} b USING (i, j)")
+def loop_matrix_add_whole(spark: SparkSession, sf: str) -> DataFrame:
+    m = _whole_matrix(spark, sf)
+    i, j = m.agg(F.max("i"), F.max("j")).first()
+    return program(spark, "var R: matrix[Double] = matrix(); for i = 0, ni do for j = 0, nj do R[i,j] := M[i,j]+N[i,j];", M=m, N=m, ni=i, nj=j)["R"]
+
+
+@query(f"SELECT sum(v) AS s FROM {_whole_cells()} WHERE i % 2 = 0 AND j = i + 1")
+def loop_affine_index_whole(spark: SparkSession, sf: str) -> DataFrame:
+    m = _whole_matrix(spark, sf)
+    out = program(spark, "var s: Double = 0.0; for i = 0, ni, 2 do s += M[i,i+1];", M=m, ni=m.agg(F.max("i")).first()[0])
+    return _one(spark, s=out["s"])
+
+
+@query(f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {_whole_cells()} a JOIN {_whole_cells(1)} b ON a.j = b.i GROUP BY ALL")
+def array_multiply_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return arrays.multiply(_whole_matrix(spark, sf), _whole_matrix(spark, sf, 1))
+
+
+@query(f"SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(a.v, 0) + coalesce(b.v, 0) AS v FROM {_whole_cells()} a FULL JOIN {_whole_cells(1)} b ON a.i = b.i AND a.j = b.j")
+def array_increment_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return arrays.increment(_whole_matrix(spark, sf), _whole_matrix(spark, sf, 1))
+
+
+@query(f"SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(b.v, a.v) AS v FROM {_whole_cells()} a FULL JOIN (SELECT i, j, -v AS v FROM {_whole_cells(1)}) b ON a.i = b.i AND a.j = b.j")
+def array_update_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return arrays.update(_whole_matrix(spark, sf), _whole_matrix(spark, sf, 1).withColumn("v", -F.col("v")))
+
+
 @query()
 def matrix_factorization(spark: SparkSession, sf: str) -> DataFrame:
     """Squared error of R ~ P x Q before and after each of three gradient steps: it falls."""
