@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm import common as C
 
-MIN_CHARS = 40
+MIN_CHARS = 1
 _BUCKET_BITS = 12
 
 

@@ -448,3 +448,12 @@ def test_substrings_odd_rows(spark, odd):
     got = {r.doc_id: (r.n_words, r.n_removed) for r in rows}
     assert got[5] == (30_000, 0) and got[6] == (30_000, 30_000) and got[1] == got[2] == got[3] == (0, 0)
     assert substring_dedup.remove_repeated_windows(odd.limit(0)).count() == 0
+
+
+def test_short_shared_lines_go(spark):
+    """With the operator's own least length: any line of a character that was seen goes, empty lines alone stay."""
+    docs = {i: f"unique {i}\n\nAll rights reserved.\nunique too {i}\n}}\n{i} end" for i in range(6)} | {6: "\n\n", 7: "\n\n", 8: "}"}
+    lines, gone = brute_lines(docs, 1)
+    for r in line_dedup.remove_repeated_lines(frame(spark, list(docs.items()))).collect():
+        assert {k for a, b in r._runs or [] for k in range(a, b)} == gone.get(r.doc_id, set())
+        assert ("All rights reserved." in r.text) == (r.doc_id == 0) and (r.doc_id < 6 or (r.text == "") == (r.doc_id == 8))
