@@ -4,7 +4,9 @@ Every stage takes (spark, docs, sf_dir); all but the last return the columns of
 ``docs``.  A stage's decisions take effect on its rows:
 
 * language_id drops texts without a letter and texts whose profile is like no
-  learned language (cosine under ``LEAST_COSINE``);
+  learned language: cosine under ``NOISE``, four deviations of that of random
+  vectors, or under ``LEAST_COSINE`` where fewer than ``FEW_LETTERS`` letters are
+  too few to tell;
 * line_dedup cuts runs of lines that an earlier document has, and drops a
   document of which nothing is left;
 * ngram_join keeps the document with the smallest id of each group of near copies;
@@ -20,11 +22,15 @@ from pyspark.sql import functions as F
 from tagloom.llm import common, decontamination, language_id, line_dedup, ngram_join, packing
 
 LEAST_COSINE = 0.02
+FEW_LETTERS = 24
+NOISE = 4 / language_id.DIMENSIONS**0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled = language_id.identify(docs)
-    return labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    few = F.length(F.regexp_replace("text", r"\P{L}+", "")) < FEW_LETTERS
+    like = (F.col("score") >= NOISE) | ((F.col("score") >= LEAST_COSINE) & few)
+    return labelled.where((F.col("lang_pred") != "und") & like).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The registered corpus queries and the pipeline."""
 
 import collections
+import random
 
 import corpus_pipeline
 import pytest
@@ -41,3 +42,14 @@ def test_stages(spark, sf, tmp_path):
 def test_run_equals_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.select("doc_id").distinct().count() > 100
+
+
+def test_unlearned_languages_go(spark, sf):
+    rng = random.Random(12)
+    scripts = ["абвгдежзийклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, rng.sample(range(0xAC00, 0xD7A4), 300))), "abcdefghijklmnopqrstuvwxyz"]
+    texts = [(10**6 + i, " ".join("".join(rng.choice(scripts[i % 4]) for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(12, 200)))) for i in range(400)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    stay = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.union(more), sf).select("doc_id").collect()}
+    assert {r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).collect()} <= stay
+    assert [sum(i in stay for i, _ in texts[k::4]) for k in range(3)] == [0, 0, 0] and sum(i in stay for i, _ in texts[3::4]) <= 5
