@@ -4,10 +4,12 @@ Numbers, names (capitalised words inside a sentence) and units behind a number
 become typed placeholders, so a question whose quantities were changed keeps
 its template.  Windows of ``width`` template words of the benchmark are hashed
 and joined with those of all documents; hits of one alignment (document, item,
-offset) that follow each other make a run.  A run is accepted when it has
-``min_words`` words (or the whole item), its words really equal the item's, and
-the slots are consistent: a slot value of the item always meets one value in the
-document, and distinct values of one kind meet distinct ones.
+offset) that follow each other make a run, and a run is divided where its words
+don't really equal the item's and at slots that contradict those before: a slot
+value of the item meets one value in the document, and distinct names or units
+meet distinct ones (numbers may coincide).  It is also divided at all slots that
+changed, which leaves verbatim parts.  A part is accepted when it has
+``min_words`` words (or the whole item).
 
 The benchmark's windows are counted first: up to ``broadcast_windows`` they are
 broadcast, beyond that the join shuffles.  Documents are read once for hits;
@@ -86,6 +88,39 @@ def _all_windows(df: DataFrame, key: str, widths: list[int], place: str) -> Data
     return out
 
 
+def _is_slot(p: Column) -> Column:
+    return p["i"].rlike(f"^[{_NUMBER}{_NAME}{_UNIT}]")
+
+
+def _kind(w: Column) -> Column:
+    return F.substring(w, 1, 1)
+
+
+def _equal(p: Column) -> Column:
+    """Words of one template: equal ones, or slots of one kind."""
+    return (p["i"] == p["d"]) | (_is_slot(p) & (_kind(p["i"]) == _kind(p["d"])))
+
+
+def _changes(pairs: str) -> Column:
+    """Places of all words that aren't verbatim."""
+    return F.filter(F.transform(pairs, lambda p, k: F.when(p["i"] != p["d"], k)), lambda k: k.isNotNull())
+
+
+def _contradictions(pairs: str) -> Column:
+    """Places where words differ or a slot contradicts one since the last such place."""
+    places = F.filter(F.transform(pairs, lambda p, k: F.struct(k.alias("k"), p["i"].alias("i"), p["d"].alias("d"))), lambda p: ~_equal(p) | _is_slot(p))
+    fresh = F.array().cast("array<struct<i:string,d:string>>")
+    start = F.struct(fresh.alias("seen"), F.array().cast("array<int>").alias("breaks"))
+
+    def step(s: Column, p: Column) -> Column:
+        clash = lambda q: ((q["i"] == p["i"]) & (q["d"] != p["d"])) | ((q["i"] != p["i"]) & (q["d"] == p["d"]) & ~p["i"].startswith(_NUMBER))
+        bad = ~_equal(p) | F.exists(s["seen"], clash)
+        seen = F.when(bad, fresh).otherwise(F.array_union(s["seen"], F.array(F.struct(p["i"].alias("i"), p["d"].alias("d")))))
+        return F.struct(seen.alias("seen"), F.when(bad, F.array_append(s["breaks"], p["k"])).otherwise(s["breaks"]).alias("breaks"))
+
+    return F.aggregate(places, start, step, lambda s: s["breaks"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, min_words: int = MIN_WORDS, least_words: int = LEAST_WORDS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``doc_id, item_id, start, words, coverage, slots`` of each accepted run (the longest of a document and item)."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tagged(F.col(item_text)).alias("tags")).where("item_id is not null").dropDuplicates(["item_id", "tags"])
@@ -110,13 +145,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hit = words.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", tagged(F.col("text")).alias("d"))
     both = runs.join(hit, "doc_id").join(items.select("item_id", "tags", "size"), "item_id")
     both = both.withColumns({"d": F.slice("d", F.col("start") + 1, F.col("words")), "i": F.slice("tags", F.col("start") - F.col("shift") + 1, F.col("words"))})
-    both = both.where(template(F.col("d")) == template(F.col("i")))
-    slot = F.filter(F.arrays_zip(F.col("i").alias("i"), F.col("d").alias("d")), lambda x: x["i"].rlike(f"^[{_NUMBER}{_NAME}{_UNIT}]"))
-    both = both.withColumn("slots", F.array_distinct(slot))
-    n = F.size("slots")
-    consistent = (F.size(F.array_distinct("slots.i")) == n) & (F.size(F.array_distinct("slots.d")) == n)
-    best = F.max_by(F.struct("start", "words", (F.col("words") / F.col("size")).alias("coverage"), n.alias("slots")), F.struct("words", -F.col("start")))
-    return both.where(consistent).groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+    both = both.withColumn("pairs", F.zip_with("i", "d", lambda i, d: F.struct(i.alias("i"), d.alias("d"))))
+    both = both.select("doc_id", "item_id", "start", "size", "pairs", F.explode(F.array_distinct(F.array(_contradictions("pairs"), _changes("pairs")))).alias("breaks"))
+    # parts lie between the breaks, which are places in the run
+    edges = F.concat(F.array(F.lit(-1)), "breaks", F.array(F.size("pairs")))
+    spans = F.transform(F.sequence(F.lit(0), F.size("breaks")), lambda k: F.struct((F.get(edges, k) + 1).alias("at"), (F.get(edges, k + 1) - F.get(edges, k) - 1).alias("words")))
+    parts = both.withColumn("part", F.explode(F.filter(spans, lambda x: x["words"] >= F.least(F.lit(min_words), "size"))))
+    inside = F.slice("pairs", F.col("part.at") + 1, F.col("part.words"))
+    parts = parts.select("doc_id", "item_id", "size", (F.col("start") + F.col("part.at")).cast("int").alias("start"), F.col("part.words").alias("words"), F.size(F.array_distinct(F.filter(inside, _is_slot))).alias("n"))
+    best = F.max_by(F.struct("start", "words", (F.col("words") / F.col("size")).alias("coverage"), F.col("n").alias("slots")), F.struct("words", -F.col("start")))
+    return parts.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,14 @@ def test_reparameterised_question_is_caught(spark):
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_consistent_parts_are_caught(spark):
+    text = "A shop has {} apples and then some other things happen in the long story until {} of them are gone, so how many apples does the shop have left in the end?"
+    items = spark.createDataFrame([(1, text.format(5, 5)), (2, "the boy has 5 red balls and 3 green cubes")], "item_id long, text string")
+    docs = frame(spark, [(1, text.format(5, 6)), (2, text.format(6, 5)), (3, "so the boy has 4 red balls and 4 green cubes"), (4, "the boy has 5 red balls or 3 green cubes"), (5, text.format(7, 7))])
+    got = {(r.doc_id, r.item_id): (r.start, r.words, r.slots) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(1, 1): (0, 16, 1), (2, 1): (4, 29, 1), (3, 2): (1, 10, 2), (5, 1): (0, 33, 1)}
+
+
 def test_template_and_tagged_words_agree(spark):
     rng = random.Random(4)
     bits = ["Anna", " ", "km", "12.5", "3,4,5", "a", "B", "é", ".", ",", "\n", "-", "7", " Bob", "x1.5", "5kg", "in", "1.2.3.", "É", "A1"]
