@@ -2,7 +2,10 @@
 
 Numbers, names (capitalised words inside a sentence) and units behind a number
 become typed placeholders, so a question whose quantities were changed keeps
-its template.  Windows of ``width`` template words of the benchmark are hashed
+its template.  Other capitalised words (at the start of a sentence or line,
+behind a quote or two spaces) can be names or not: a window with some of them has
+two hashes, one of each reading, on both sides, and where the words are compared
+such a word meets its equal in any case or any name.  Windows of ``width`` template words of the benchmark are hashed
 and joined with those of all documents; hits of one alignment (document, item,
 offset) that follow each other make a run, and a run is divided where its words
 don't really equal the item's and at slots that contradict those before: a slot
@@ -37,10 +40,12 @@ _NUMBER, _NAME, _UNIT = "\ue001", "\ue002", "\ue003"  #: private-use signs; docu
 
 
 _POINT = "\ue004"  #: stands for the point or comma inside a number's value
-_SIGNS = f"{_NUMBER}{_NAME}{_UNIT}{_POINT}"
+_MAYBE = "\ue005"  #: a capitalised word that may be a name; its value stays
+_SIGNS = f"{_NUMBER}{_NAME}{_UNIT}{_POINT}{_MAYBE}"
 _BETWEEN = rf"[^\p{{L}}\p{{M}}\p{{N}}{_SIGNS}]+"
 _NUMBERS = r"[0-9](?<![\p{L}\p{N}.,].)[0-9]*+(?:[.,][0-9]++){0,8}(?![\p{N}])"
 _NAMES = r"\p{Lu}(?<=[\p{Ll},] \p{Lu})\p{Ll}++"
+_CAPITALS = rf"\p{{Lu}}(?<![\p{{L}}\p{{M}}\p{{N}}{_SIGNS}]\p{{Lu}})\p{{Ll}}++(?![\p{{L}}\p{{M}}\p{{N}}{_SIGNS}])"
 
 
 def _words(text: Column, keep: bool) -> Column:
@@ -49,13 +54,14 @@ def _words(text: Column, keep: bool) -> Column:
     Expressions that few texts need run only where a plain search finds a reason.
     """
     value = "$0" if keep else ""
-    x = F.when(text.rlike(f"[{_SIGNS}]"), F.translate(text, _SIGNS, "    ")).otherwise(text)
+    x = F.when(text.rlike(f"[{_SIGNS}]"), F.translate(text, _SIGNS, " " * len(_SIGNS))).otherwise(text)
     x = F.regexp_replace(x, _NAMES, f" {_NAME}{value} ")
     numbers = F.regexp_replace(x, _NUMBERS, f" {_NUMBER}{value} ")
     if keep:
         numbers = F.regexp_replace(numbers, rf"[.,](?<={_NUMBER}[0-9.,]{{0,200}})", _POINT)
     units = F.regexp_replace(numbers, rf"(?i)({_NUMBER}[^ ]*+ ++)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}{'$2' if keep else ''} ")
     x = F.when(text.rlike("[0-9]"), units).otherwise(x)
+    x = F.regexp_replace(x, _CAPITALS, f"{_MAYBE}$0")
     return F.array_remove(F.split(F.lower(x), _BETWEEN), "")
 
 
@@ -81,24 +87,42 @@ def windows(hashes: str, width: int) -> Column:
 
 
 def _all_windows(df: DataFrame, key: str, widths: list[int], place: str) -> DataFrame:
-    out, df = None, df.select(key, F.transform("t", lambda w: F.xxhash64(w)).alias("t"))
+    """Windows of both readings; the second only where it is another."""
+    plain = F.transform("t", lambda w: F.xxhash64(_plain(w)))
+    names = F.transform("t", lambda w: F.xxhash64(F.when(w.startswith(_MAYBE), _NAME).otherwise(w)))
+    out, df = None, df.select(key, plain.alias("t"), names.alias("t2"))
     for w in widths:
-        part = df.select(key, F.posexplode(windows("t", w)).alias(place, "h")).withColumn("w", F.lit(w))
+        both = F.arrays_zip(windows("t", w).alias("a"), windows("t2", w).alias("b"))
+        part = df.select(key, F.posexplode(both).alias(place, "ab"))
+        part = part.select(key, place, F.explode(F.when(F.col("ab.a") == F.col("ab.b"), F.array("ab.a")).otherwise(F.array("ab.a", "ab.b"))).alias("h")).withColumn("w", F.lit(w))
         out = part if out is None else out.union(part)
     return out
 
 
-def _is_slot(p: Column) -> Column:
-    return p["i"].rlike(f"^[{_NUMBER}{_NAME}{_UNIT}]")
+def _plain(w: Column) -> Column:
+    return F.when(w.startswith(_MAYBE), F.substring(w, 2, 1 << 30)).otherwise(w)
+
+
+def _named(w: Column) -> Column:
+    return w.rlike(f"^[{_NAME}{_MAYBE}]")
 
 
-def _kind(w: Column) -> Column:
-    return F.substring(w, 1, 1)
+def _pair(i: Column, d: Column) -> Column:
+    """Two words; where both may be names, equal ones keep the sign of that (no slots, but others mustn't contradict them) and different ones are names."""
+    value = lambda w: F.when(_named(w), F.substring(w, 2, 1 << 30)).otherwise(w)
+    literal = (i.startswith(_MAYBE) | d.startswith(_MAYBE)) & (value(i) == value(d))
+    name = lambda w: F.concat(F.lit(_NAME), value(w))
+    maybe = lambda w: F.concat(F.lit(_MAYBE), value(w))
+    return F.when(literal & _named(i) & _named(d), F.struct(maybe(i).alias("i"), maybe(d).alias("d"))).when(literal, F.struct(value(i).alias("i"), value(d).alias("d"))).when(_named(i) & _named(d), F.struct(name(i).alias("i"), name(d).alias("d"))).otherwise(F.struct(_plain(i).alias("i"), _plain(d).alias("d")))
+
+
+def _is_slot(p: Column) -> Column:
+    return p["i"].rlike(f"^[{_NUMBER}{_NAME}{_UNIT}]")
 
 
 def _equal(p: Column) -> Column:
     """Words of one template: equal ones, or slots of one kind."""
-    return (p["i"] == p["d"]) | (_is_slot(p) & (_kind(p["i"]) == _kind(p["d"])))
+    return (p["i"] == p["d"]) | (_is_slot(p) & (F.substring(p["i"], 1, 1) == F.substring(p["d"], 1, 1)))
 
 
 def _changes(pairs: str) -> Column:
@@ -108,7 +132,7 @@ def _changes(pairs: str) -> Column:
 
 def _contradictions(pairs: str) -> Column:
     """Places where words differ or a slot contradicts one since the last such place."""
-    places = F.filter(F.transform(pairs, lambda p, k: F.struct(k.alias("k"), p["i"].alias("i"), p["d"].alias("d"))), lambda p: ~_equal(p) | _is_slot(p))
+    places = F.filter(F.transform(pairs, lambda p, k: F.struct(k.alias("k"), *[F.translate(p[c], _MAYBE, _NAME).alias(c) for c in "id"])), lambda p: ~_equal(p) | _is_slot(p))
     fresh = F.array().cast("array<struct<i:string,d:string>>")
     start = F.struct(fresh.alias("seen"), F.array().cast("array<int>").alias("breaks"))
 
@@ -145,7 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hit = words.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", tagged(F.col("text")).alias("d"))
     both = runs.join(hit, "doc_id").join(items.select("item_id", "tags", "size"), "item_id")
     both = both.withColumns({"d": F.slice("d", F.col("start") + 1, F.col("words")), "i": F.slice("tags", F.col("start") - F.col("shift") + 1, F.col("words"))})
-    both = both.withColumn("pairs", F.zip_with("i", "d", lambda i, d: F.struct(i.alias("i"), d.alias("d"))))
+    both = both.withColumn("pairs", F.zip_with("i", "d", _pair))
     both = both.select("doc_id", "item_id", "start", "size", "pairs", F.explode(F.array_distinct(F.array(_contradictions("pairs"), _changes("pairs")))).alias("breaks"))
     # parts lie between the breaks, which are places in the run
     edges = F.concat(F.array(F.lit(-1)), "breaks", F.array(F.size("pairs")))

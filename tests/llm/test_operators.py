@@ -147,6 +147,17 @@ def test_consistent_parts_are_caught(spark):
     assert got == {(1, 1): (0, 16, 1), (2, 1): (4, 29, 1), (3, 2): (1, 10, 2), (5, 1): (0, 33, 1)}
 
 
+def test_names_at_any_place_are_caught(spark):
+    text = "Tom has 5 marbles. Tom gives 3 of them to a friend.{}Tom buys 4 more marbles, so how many are left? "
+    items = spark.createDataFrame([(1, text.format(" ")), (2, "Short one here with a few words now ok")], "item_id long, text string")
+    docs = frame(spark, [
+        (1, text.format("\n").replace("Tom", "Ben").replace("5", "7")), (2, text.format("  ").replace("Tom", "Ben")), (3, text.format(' "').replace("Tom", "Ben")),
+        (4, "he said Short one here with a few words now ok"), (5, "he said short one here with a few words now ok"), (6, text.format(" ").replace("Tom has", "Ben has").replace("Tom buys", "Max buys").replace("marbles.", "books.")),
+    ])
+    got = {(r.doc_id, r.item_id): r.slots for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(1, 1): 4, (2, 1): 4, (3, 1): 4, (4, 2): 0, (5, 2): 0}
+
+
 def test_template_and_tagged_words_agree(spark):
     rng = random.Random(4)
     bits = ["Anna", " ", "km", "12.5", "3,4,5", "a", "B", "é", ".", ",", "\n", "-", "7", " Bob", "x1.5", "5kg", "in", "1.2.3.", "É", "A1"]
