@@ -39,7 +39,7 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 # Keywords whose values seed the patterns.
 SEED_WORDS = "token|tokens|secret|key|api_key|apikey|access_key|password|passwd|pwd|passwort|clave|ssn|iban|passport|license_no|account|account_no|auth|bearer|credential"
-CANDIDATE = r"""(?<![\p{L}_])(?:[\p{L}_]{2,24} ?[=:#] ?|(?:[\p{L}_]{1,24} ){1,2})["'(]?(?=[A-Za-z@._%+-]{0,40}[0-9])[A-Za-z0-9][A-Za-z0-9@._%+-]{4,200}+"""
+CANDIDATE = r"""(?<![\p{L}_])(?:[\p{L}_]{2,24} ?[=:#] ?|(?:[\p{L}_]{1,24} ){1,2})["'(]?(?=[A-Za-z@._%+-]*+[0-9])[A-Za-z0-9][A-Za-z0-9@._%+-]{4,}+"""
 _VALUE = r"[A-Za-z0-9][A-Za-z0-9@._%+-]{4,}$"
 
 

@@ -398,6 +398,15 @@ def test_context_finds_unseen_identifiers(spark, odd):
     assert pii.find_pii(odd.limit(0)).count() == 0
 
 
+def test_long_values_are_covered_whole(spark):
+    values = [hashlib.sha1(str(i).encode()).hexdigest() * 15 for i in range(6)] + ["abcdefgh" * 8 + str(i) for i in range(6)]
+    rows = [(i, f"some words here token = {v} and more") for i, v in enumerate(values)]
+    out = {r.doc_id: [tuple(x) for x in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        at = t.index("= ") + 2
+        assert (at, 4, at + len(values[i])) in out[i]
+
+
 # ---------------------------------------------------------------- 9 lines
 
 
