@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,16 @@ def session(name: str = "tagloom", master: str | None = None, **conf: object) ->
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a folder of this machine if driver and executors are one process, else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if spark.sparkContext.master.startswith("local["):
+        return tempfile.mkdtemp(prefix="checkpoints-")
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with a plan that is a scan of a reliable checkpoint (in ``spark.checkpoint.dir``).
 
@@ -29,13 +41,24 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        sc.setCheckpointDir(shared_folder(spark))
     kept = df.checkpoint(eager=True)._jdf
-    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().logical().rdd(), kept.schema(), False), spark)
-    out._tagloom_cut = True
+    rdd = kept.queryExecution().logical().rdd()
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(rdd, kept.schema(), False), spark)
+    out._tagloom_cut, file = True, rdd.getCheckpointFile()
+    out._tagloom_file = file.get() if file.isDefined() else None
     return out
 
 
+def forget(df: DataFrame) -> None:
+    """Removes the files of what :func:`cut` returned; no plan may need them any more."""
+    file = getattr(df, "_tagloom_file", None)
+    if file:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def is_cut(df: DataFrame) -> bool:
     """Whether a frame is just what :func:`cut` returned."""
     return getattr(df, "_tagloom_cut", False)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.lineage import Traced
 from tagloom.registry import query, table
+from tagloom.session import shared_folder
 from tagloom.sources import generators
 from tagloom.streaming.incremental import incremental, latest, windowed
 
@@ -66,7 +67,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS s, max(event_id) AS last FROM events GROUP BY event_type")
 def streaming_incremental(spark: SparkSession, sf: str) -> DataFrame:
     """A grouped aggregate kept up to date batch by batch."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/incremental-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
     compute = lambda b: b.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.max("event_id").alias("last"))
     incremental(_stream(spark, sf), compute, ["event_type"], {"n": "count", "s": "+", "last": "max"}, f"{base}/out", f"{base}/log").awaitTermination()
     return latest(spark, f"{base}/out").select("event_type", "n", F.round("s", 4).alias("s"), "last")
@@ -76,7 +77,7 @@ def streaming_incremental(spark: SparkSession, sf: str) -> DataFrame:
 def streaming_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Tumbling event-time windows with a watermark."""
     name = f"windows_{uuid.uuid4().hex}"
-    base = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/{name}"
+    base = f"{shared_folder(spark)}/{name}"
     out = windowed(_stream(spark, sf), "ts", "1 day", "1 day", None, ["event_type"], n=F.count(F.lit(1)))
     out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
