@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.session import cut
+from tagloom.session import forget as forget
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 NULL_ID = np.iinfo(np.int64).max  #: a null id sorts after every other id
@@ -65,9 +66,26 @@ def partitions_for(df: DataFrame, target_mb: float = 10.0) -> int:
     return max(conf, min(wanted, 200_000))
 
 
-#: cuts the lineage by a reliable checkpoint in the folder that all executors share
+#: cuts the lineage by a reliable checkpoint in the folder that all executors share; ``forget`` removes one that no plan needs any more
 checkpoint = cut
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, shares: int = 1000) -> DataFrame:
+    """``left`` left-joined with ``right`` (one row a key) where a key may hold any part of left's rows.
+
+    A key with more than one ``shares``-th of the rows (so there are fewer than
+    ``shares`` such keys: a proven bound for the broadcast) is dealt by a hash of
+    ``salt`` over several tasks, and right's row for it is repeated for each.
+    """
+    total = left.count()
+    counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where(F.col("_n") * shares > total)
+    hot = checkpoint(counts.select("_key", F.ceil(F.col("_n") * shares / F.lit(max(total, 1))).cast("int").alias("_shares")))
+    if hot.isEmpty():
+        return left.join(right, key, "left")
+    n = F.coalesce("_shares", F.lit(1))
+    one = left.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left").withColumn("_salt", F.pmod(F.xxhash64(salt), n).cast("int")).drop("_key", "_shares")
+    two = right.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_key", "_shares")
+    return one.join(two, [key, "_salt"], "left").drop("_salt")
+
 
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What a worker yields; at its end the memory that allocators hold on to goes back, as workers outlive their tasks."""

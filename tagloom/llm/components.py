@@ -43,12 +43,12 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[parent[moved]]
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", limit: int = 60) -> DataFrame:
+def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """``node, component`` of every node of an edge list; the component is its smallest node."""
     now = edges.select(F.greatest(u, v).alias("v"), F.least(u, v).alias("u")).where("u < v").distinct()
     now = C.checkpoint(now)
     before = None
-    for _ in range(limit):
+    while True:
         # large star: every larger neighbour of a node hangs on to the least of the node's neighbourhood
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -56,9 +56,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", limit: int = 60) ->
         # small star: a node and its smaller neighbours hang on to the least of these
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u")))
-        now = C.checkpoint(small.where("u < v").distinct())
+        last, now = now, C.checkpoint(small.where("u < v").distinct())
+        C.forget(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select("u", "u").distinct())
         before = state
-    raise RuntimeError(f"components did not settle in {limit} rounds")

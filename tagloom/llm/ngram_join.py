@@ -19,9 +19,14 @@ that may link, not the pairs.
 
 Verification.  The forest's components are small groups of texts that may be
 near copies; each is read once (one text for equal sets) and joined exactly by
-the same tree.  A group of more than ``block`` sets is split: first every block
-meets one pivot block, then only what isn't yet in the group's largest component
-meets all blocks, so a dense group of any size costs about one pass.
+the same tree.  A group of more than ``block`` sets is split into blocks, whose
+texts are packed and compressed once: first every block meets one pivot block,
+then only what isn't yet in the group's largest component meets all blocks, so a
+dense group of any size costs about one pass.
+
+Hot keys.  Up to ``_LEAF // 2`` sets that share a shingle are one leaf; the leaves'
+pairs are tested together.  Copies of one set are one row before any join; joins
+by set or by group deal keys with many rows over several tasks.
 
 Nulls and odd rows: a text without words has an empty set and no links; a null
 id has a null component and no links; rows that repeat an id are one node.
@@ -42,9 +47,8 @@ from tagloom.llm import components as G
 
 WORDS = 5
 CELLS, LONG, LONG_CELLS = 64, 1024, 512  #: cells of a bitmap; sets from LONG shingles on have a finer one, too
-BLOCK = 1000
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000  #: sets, and shingles, of a verification block
 _LEAF = 16
-_PIVOT, _OWN, _ALL = 0, 1, 2  #: sides of a verification task: pivot (or rest) rows, a block's own rows, rows only to compare with
 _TEXTS = 2_000_000  #: bytes of text that become arrays at a time; no text is cut
 
 
@@ -283,7 +287,7 @@ def _candidates(percent: int):
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         counts = np.diff(np.append(starts, len(token)))
         forest = Forest(len(keys))
-        small = [(s, index[starts[counts == s][:, None] + np.arange(s)]) for s in range(2, 9) if (counts == s).any()]
+        small = [(s, index[starts[counts == s][:, None] + np.arange(s)]) for s in range(2, _LEAF // 2 + 1) if (counts == s).any()]
         u, v = _pairs_of_small(small)
         if len(u):
             pair = np.unique(np.minimum(u, v) * np.int64(len(keys)) + np.maximum(u, v))
@@ -292,7 +296,7 @@ def _candidates(percent: int):
             for x, y in zip(*G.forest(u[ok], v[ok]), strict=True):
                 forest.join(int(x), int(y))
         done = set()
-        for k in np.flatnonzero(counts > 8).tolist():
+        for k in np.flatnonzero(counts > _LEAF // 2).tolist():
             members = index[starts[k] : starts[k] + counts[k]]
             if (name := hash(members.tobytes())) in done:
                 continue
@@ -328,47 +332,92 @@ def frequent_shingles(docs: DataFrame, width: int, sample_rows: int, share: floa
 # ---------------------------------------------------------------- verification
 
 
-def _verify(width: int, percent: int):
+def _forest_of(first: list[np.ndarray], second: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+    """Links that join something, within one list of sets or between two (positions; the second's follow the first's)."""
+    sets = first + (second or [])
+
+    def links(i: int, j: int) -> bool:
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return bool(enough(both, len(sets[i]), len(sets[j]), percent))
+
+    if second is None and len(sets) == 2:
+        return [(0, 1)] if links(0, 1) else []
+    forest, sig = Forest(len(sets)), Signatures.of(sets)
+    order = np.array(sorted(range(len(sets)), key=lambda k: (len(sets[k]), sets[k][0] if len(sets[k]) else 0)), np.int64)
+    x = Node(order[order < len(first)] if second is not None else order, sig)
+    dual(x, x if second is None else Node(order[order >= len(first)], sig), sig, forest, percent, links)
+    return forest.edges
+
+
+def _pack_texts(keys: np.ndarray, texts: pa.Array) -> bytes:
+    data, offsets = C.string_buffers(texts)
+    return C.pack(keys, offsets, data)
+
+
+def _unpack_texts(payloads: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    keys, texts = [], []
+    for p in payloads:
+        k, offsets, data = C.unpack(p)
+        keys.append(k)
+        texts.append(pa.LargeStringArray.from_buffers(len(k), pa.py_buffer(offsets), pa.py_buffer(data)))
+    return np.concatenate(keys), pa.concat_arrays(texts)
+
+
+_OWN_SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("comp", pa.int64()), ("blocks", pa.int32()), ("b", pa.int32()), ("payload", pa.binary())])
+_OWN_DDL = "u long, v long, comp long, blocks int, b int, payload binary"
+
+
+def _own(width: int, percent: int):
+    """Links inside each block, and the packed texts of blocks that have others to meet."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [b for b in batches if b.num_rows]
         if not kept:
             return
         table = pa.Table.from_batches(kept).combine_chunks()
-        names = [table[c].to_pylist() for c in ("comp", "i", "j")]
         groups: dict[tuple, list[int]] = {}
-        for k, g in enumerate(zip(*names, strict=True)):
+        for k, g in enumerate(zip(table["comp"].to_pylist(), table["blocks"].to_pylist(), table["b"].to_pylist(), strict=True)):
             groups.setdefault(g, []).append(k)
-        keys, sides = table["key"].to_pylist(), table["side"].to_pylist()
-        texts, us, vs = table["text"].combine_chunks(), [], []
+        keys, texts, rows = table["key"].to_numpy(), table["text"].combine_chunks(), []
         texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
-        for rows in groups.values():
-            sets = list(shingle_sets(texts.take(pa.array(rows)), width))
+        for (comp, blocks, b), at in groups.items():
+            part = texts.take(pa.array(at))
+            rows += [(int(keys[at[i]]), int(keys[at[j]]), comp, None, None, None) for i, j in _forest_of(list(shingle_sets(part, width)), None, percent)]
+            if blocks > 1:
+                rows.append((None, None, comp, blocks, b, _pack_texts(keys[at], part)))
+        yield from C.record_batches(rows, _OWN_SCHEMA)
 
-            def links(i: int, j: int, sets: list[np.ndarray] = sets) -> bool:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                return bool(enough(both, len(sets[i]), len(sets[j]), percent))
+    return lambda b: C.released(verify(b))
 
-            forest = Forest(len(rows))
-            if len(rows) == 2:
-                if links(0, 1):
-                    forest.join(0, 1)
-            else:
-                sig = Signatures.of(sets)
-                order = np.array(sorted(range(len(rows)), key=lambda k: (len(sets[k]), sets[k][0] if len(sets[k]) else 0)))
-                side = np.array([sides[rows[k]] for k in order.tolist()])
-                trees = {s: Node(order[side == s], sig) for s in sorted(set(side.tolist()))}
-                first, last = trees[min(trees)], trees[max(trees)]
-                dual(first, last, sig, forest, percent, links)
-                if len(trees) == 2 and max(trees) == _OWN:  # the pivot block has a task of its own
-                    dual(last, last, sig, forest, percent, links)
-            for a, b in forest.edges:
-                us.append(keys[rows[a]])
-                vs.append(keys[rows[b]])
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+def _across(width: int, percent: int):
+    """Links between the two sides (0 and 1) of each (comp, i, j); rows hold packed texts."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: dict[tuple, tuple[list, list]] = {}
+        for x in batches:
+            for comp, i, j, side, payload in zip(*(x.column(c).to_pylist() for c in ("comp", "i", "j", "side", "payload")), strict=True):
+                sides.setdefault((comp, i, j), ([], []))[side].append(payload)
+        for one, two in sides.values():
+            if one and two:
+                k1, t1 = _unpack_texts(one)
+                k2, t2 = _unpack_texts(two)
+                keys = np.concatenate([k1, k2])
+                edges = np.array(_forest_of(list(shingle_sets(t1, width)), list(shingle_sets(t2, width)), percent), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[edges[:, 0]]), pa.array(keys[edges[:, 1]])], ["u", "v"])
 
     return lambda b: C.released(verify(b))
 
 
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed texts of some keys of each block."""
+    for x in batches:
+        for comp, b, rests, payload, wanted in zip(*(x.column(c).to_pylist() for c in ("comp", "b", "rests", "payload", "keys")), strict=True):
+            keys, texts = _unpack_texts([payload])
+            at = np.flatnonzero(np.isin(keys, np.array(wanted, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([comp], pa.int64()), pa.array([b], pa.int32()), pa.array([rests], pa.int32()), pa.array([_pack_texts(keys[at], texts.take(pa.array(at)))], pa.binary())], ["comp", "b", "rests", "payload"])
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = 80, block: int = BLOCK, sample_rows: int = 2000, share: float = 0.003, most_frequent: int = 200_000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     C.importable(docs)
@@ -380,37 +429,53 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = known.select("text").mapInArrow(_prefixes(width, percent, n, frequent), "bucket int, payload binary").repartition(n, "bucket")
     maybe = C.checkpoint(sent.mapInArrow(_candidates(percent), "u long, v long"))
     groups = C.checkpoint(G.components(maybe).withColumnRenamed("node", "key").withColumnRenamed("component", "comp"))
-    sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
-    one = table.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    wanted = groups.join(sizes, "comp").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("key", F.lit(3)), "blocks").cast("int")).join(one, "key")
-    texts = wanted.join(known, "doc_id").select("comp", "key", "blocks", "b", "text")
-    # every block with itself and with the pivot block 0
-    with_pivot = F.when(F.col("b") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("b"))
-    first = texts.select("comp", "key", "text", F.lit(0).alias("i"), F.explode(with_pivot).alias("j"), F.when(F.col("b") == 0, _PIVOT).otherwise(_OWN).alias("side"))
-    found = C.checkpoint(first.repartition(n, "comp", "i", "j").mapInArrow(_verify(width, percent), "u long, v long"))
-    large = wanted.where("blocks > 1").select("comp", "key", "blocks", "b")
-    if not large.isEmpty():
-        found = C.checkpoint(found.union(_rest(large, texts, found, block, n, width, percent)))
+    C.forget(maybe)
+    # one row for each set, however many documents have it
+    classes = C.checkpoint(table.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    members = C.checkpoint(groups.join(classes, "key"))
+    C.forget(groups)
+    sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    wanted = C.spread_join(members, sizes, "comp", "key").withColumn("b", F.pmod(F.xxhash64("key", F.lit(3)), "blocks").cast("int"))
+    rows = wanted.select("doc_id", "comp", "key", "blocks", "b").join(known, "doc_id").repartition(n, "comp", "b")
+    own = C.checkpoint(rows.mapInArrow(_own(width, percent), _OWN_DDL))
+    found = own.where("u is not null").select("u", "v")
+    packed = own.where("payload is not null").select("comp", "blocks", "b", "payload")
+    if not packed.isEmpty():
+        found = _between_blocks(found, packed, block, n, width, percent)
     joined = G.components(found).withColumnRenamed("node", "key").withColumnRenamed("component", "link")
-    named = table.join(joined, "key", "left").withColumn("link", F.coalesce("link", "key"))
-    least = named.where("link is not null and doc_id is not null").groupBy("link").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "link", "left")
+    named = C.checkpoint(classes.join(joined, "key", "left").select("key", "doc_id", F.coalesce("link", "key").alias("link")))
+    least = C.spread_join(named, named.groupBy("link").agg(F.min("doc_id").alias("least")), "link", "key").select("key", "least")
+    out = C.spread_join(table, least, "key", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
-def _rest(large: DataFrame, texts: DataFrame, found: DataFrame, block: int, n: int, width: int, percent: int) -> DataFrame:
-    """Links of what isn't in its group's largest component after the first round, against the whole group."""
+def _between_blocks(found: DataFrame, packed: DataFrame, block: int, n: int, width: int, percent: int) -> DataFrame:
+    """The links of blocks' own pairs and of pairs between blocks of a group: with the pivot block, then of what that left apart."""
+    at = F.when(F.col("b") == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("b"))
+    first = packed.select("comp", F.lit(0).alias("i"), F.explode(at).alias("j"), (F.col("b") > 0).cast("int").alias("side"), "payload")
+    found = C.checkpoint(found.union(first.repartition(n, "comp", "i", "j").mapInArrow(_across(width, percent), "u long, v long")))
+    keys = packed.select("comp", "b", "blocks", "payload").mapInArrow(_keys, "comp long, b int, key long")
     now = G.components(found).withColumnRenamed("node", "key").withColumnRenamed("component", "link")
-    state = C.checkpoint(large.join(now, "key", "left").withColumn("link", F.coalesce("link", "key")))
+    state = C.checkpoint(keys.join(now, "key", "left").withColumn("link", F.coalesce("link", "key")))
     main = state.groupBy("comp", "link").agg(F.count("*").alias("size")).groupBy("comp").agg(F.max_by("link", F.struct("size", "link")).alias("main"))
-    left = state.join(main, "comp").where("link <> main").select("comp", "key")
+    left = C.checkpoint(C.spread_join(state, main, "comp", "key").where("link <> main").select("comp", "b", "key"))
+    if left.isEmpty():
+        return found
     rests = left.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("rests"))
-    left = C.checkpoint(left.join(rests, "comp").withColumn("lb", F.pmod(F.xxhash64("key", F.lit(5)), "rests").cast("int")))
-    big = texts.where("blocks > 1")
-    all_rows = big.join(rests, "comp").select("comp", "key", "text", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), F.col("b").alias("j"), F.lit(_ALL).alias("side"))
-    rest_rows = big.join(left.select("key", "lb"), "key").select("comp", "key", "text", F.col("lb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(_PIVOT).alias("side"))
-    return all_rows.union(rest_rows).repartition(n, "comp", "i", "j").mapInArrow(_verify(width, percent), "u long, v long")
+    # a block has about ``block`` keys, whatever the group
+    some = left.groupBy("comp", "b").agg(F.collect_list("key").alias("keys")).join(rests, "comp")
+    pieces = C.checkpoint(packed.join(some, ["comp", "b"]).select("comp", "b", "rests", "payload", "keys").mapInArrow(_chosen, "comp long, b int, rests int, payload binary"))
+    of = packed.groupBy("comp").agg(F.max("blocks").alias("blocks"))
+    one = pieces.join(of, "comp").select("comp", F.pmod(F.xxhash64("b"), "rests").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), "payload")
+    two = packed.join(rests, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), "payload")
+    return C.checkpoint(found.union(one.union(two).repartition(n, "comp", "i", "j").mapInArrow(_across(width, percent), "u long, v long")))
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x in batches:
+        for comp, b, payload in zip(*(x.column(c).to_pylist() for c in ("comp", "b", "payload")), strict=True):
+            keys = C.unpack(payload)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), comp, np.int64)), pa.array(np.full(len(keys), b, np.int32)), pa.array(keys)], ["comp", "b", "key"])
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
