@@ -69,6 +69,14 @@ def partitions_for(df: DataFrame, target_mb: float = 10.0) -> int:
 #: cuts the lineage by a reliable checkpoint in the folder that all executors share; ``forget`` removes one that no plan needs any more
 checkpoint = cut
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, shares: int = 1000) -> DataFrame:
     """``left`` left-joined with ``right`` (one row a key) where a key may hold any part of left's rows.
 

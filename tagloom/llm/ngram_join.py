@@ -434,7 +434,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = C.checkpoint(table.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
     members = C.checkpoint(groups.join(classes, "key"))
     C.forget(groups)
-    sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    # blocks of 64 sets in small groups and of ``block`` in large ones, so a group's first pass is spread over tasks
+    sets = F.least(F.lit(block), F.greatest(F.lit(64), 8 * F.sqrt(F.count("*"))))
+    sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     wanted = C.spread_join(members, sizes, "comp", "key").withColumn("b", F.pmod(F.xxhash64("key", F.lit(3)), "blocks").cast("int"))
     rows = wanted.select("doc_id", "comp", "key", "blocks", "b").join(known, "doc_id").repartition(n, "comp", "b")
     own = C.checkpoint(rows.mapInArrow(_own(width, percent), _OWN_DDL))

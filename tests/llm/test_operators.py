@@ -447,8 +447,10 @@ def test_lines(spark):
 def test_lines_odd_rows(spark, odd):
     assert line_dedup.remove_repeated_lines(odd).count() == len(ODD) + 2
     assert line_dedup.remove_repeated_lines(odd.limit(0)).count() == 0
-    out = {r.doc_id: r._removed for r in line_dedup.remove_repeated_lines(odd).collect()}
-    assert (out[5], out[6]) == (0, 1)
+    out = collections.defaultdict(list)
+    for r in line_dedup.remove_repeated_lines(odd).collect():
+        out[r.doc_id].append(r._removed)
+    assert (out[5], out[6], out[4], out[9]) == ([0], [1], [0, 0], [1])
 
 
 # ---------------------------------------------------------------- 10 substrings
@@ -478,6 +480,32 @@ def test_substrings_odd_rows(spark, odd):
     assert substring_dedup.remove_repeated_windows(odd.limit(0)).count() == 0
 
 
+def test_lines_of_repeated_ids(spark):
+    """Texts of one id are documents of their own in the order of their hashes; equal rows are one document."""
+    rng = random.Random(13)
+    line = lambda: rng.choice(["", "a", "bb bb", f"own {rng.random()}", "shared line", "another"])
+    rows = [(i // 4, "\n".join(line() for _ in range(rng.randint(1, 10)))) for i in range(60)]
+    rows += [rows[3], rows[3], (7, "x\ny\nz\n" + "\n".join(f"line {k % 3000}" for k in range(6000)))]
+    df = frame(spark, rows).withColumns({c: F.lit(1) for c in ("doc", "_doc", "th", "runs", "_gone", "_removed", "_lines", "_runs")})
+    order = {(r.doc_id, r.text): (r.doc_id, r.h) for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    names = sorted(order.values())
+    lines, gone = {}, {}
+    texts = {names.index(v): k[1] for k, v in order.items()}
+    first = {}
+    for d in sorted(texts):
+        lines[d], gone[d] = texts[d].split("\n"), set()
+        for a in range(len(lines[d])):
+            for b in range(a, min(a + 12, len(lines[d]))):  # runs of empty lines are shorter than that
+                run = tuple(lines[d][a : b + 1])
+                if any(run) and first.setdefault(run, (d, a)) != (d, a):
+                    gone[d] |= set(range(a, b + 1))
+    got = line_dedup.remove_repeated_lines(df).withColumn("kept", F.col("text"))
+    want = collections.Counter((names[d][0], "\n".join(x for k, x in enumerate(lines[d]) if k not in gone[d])) for d in texts)
+    want[rows[3][0], next("\n".join(x for k, x in enumerate(lines[d]) if k not in gone[d]) for d, t in texts.items() if t == rows[3][1] and names[d][0] == rows[3][0])] += 2
+    assert collections.Counter((r.doc_id, r.kept) for r in got.collect()) == want
+    assert sorted(got.columns) == sorted({*df.columns, "kept"})
+
+
 def test_short_shared_lines_go(spark):
     """With the operator's own least length: any line of a character that was seen goes, empty lines alone stay."""
     docs = {i: f"unique {i}\n\nAll rights reserved.\nunique too {i}\n}}\n{i} end" for i in range(6)} | {6: "\n\n", 7: "\n\n", 8: "}"}
