@@ -371,7 +371,7 @@ def entities(t):
     for k, (n, r) in enumerate(BASE):
         for m in re.finditer(r, t):
             g, d = m[0], re.sub("[^0-9]", "", m[0])
-            if n == "ip" and any(int(p) > 255 for p in g.split(".")) or n == "card" and not (12 <= len(d) <= 19 and luhn(d)) or n == "phone" and not 9 <= len(d) <= 15:
+            if n == "ip" and any(int(p.lstrip("0")[:4] or 0) > 255 for p in g.split(".")) or n == "card" and not (12 <= len(d) <= 19 and luhn(d)) or n == "phone" and not 9 <= len(d) <= 15:
                 continue
             out.append((m.start(), k, m.end()))
     return sorted(out)
@@ -380,7 +380,8 @@ def entities(t):
 def test_base_entities(spark):
     rng = random.Random(9)
     some = ["".join(rng.choice("a.b@c-_%+ ()0123456789 -.@🙂é\n") for _ in range(rng.randint(0, 80))) for _ in range(1500)]
-    some += ["4111 1111 1111 1111 and 4111-1111-1111-1111", "x@y.com_foo@bar.com", "1.2.3.4.5.6.7.8.9", "+1 (702) 555-0742", "a" * 100_000, "1 " * 50_000, "a@" + "b." * 30_000 + "c", "." * 50_000, "0001.002.3.255 1.2.3.256", ""]
+    some += ["4111 1111 1111 1111 and 4111-1111-1111-1111", "x@y.com_foo@bar.com", "1.2.3.4.5.6.7.8.9", "+1 (702) 555-0742", "a" * 100_000, "1 " * 50_000, "a@" + "b." * 30_000 + "c", "." * 50_000, "0001.002.3.255 1.2.3.256", "", "10.0.0.1 and 192.168.0.7, 8.8.8.8 0.0.0.0 01.002.3.4 256.0.0.1 1.2.3.0000", "0" * 50_000 + ".0.0." + "0" * 50_000]
+    some += [" ".join(".".join(rng.choice(["0", "00", "7", "10", "099", "255", "256", "1000", str(rng.randrange(300))]) for _ in range(rng.choice([3, 4, 4, 4, 5]))) for _ in range(6)) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(some)), "i long, text string")
     got = {r.i: [tuple(x) for x in r.base] for r in df.select("i", pii.base_spans(F.col("text")).alias("base")).collect()}
     assert got == {i: entities(t) for i, t in enumerate(some)}
@@ -398,6 +399,21 @@ def test_context_finds_unseen_identifiers(spark, odd):
     assert pii.find_pii(odd.limit(0)).count() == 0
 
 
+def test_contexts_of_base_entities_find_others(spark):
+    """No seed word: contexts of mail addresses and phones hold identifiers that no expression knows, and those lead on."""
+    rows = [(i, f"for questions write to person{i}@mail.example.com today") for i in range(12)] + [(20 + i, f"my number is +49 170 55501{i:02d} ok") for i in range(9)]
+    rows += [(40, "for questions write to staff_member_77 today"), (41, "my number is (0170) 555 0199 ok"), (42, "we met on day12345 there"), (43, "see staff_member_77"), (44, None), (None, "my number is (0170) 555 0188 ok"), (40, "my number is 0170 555 0177 ok"), (40, "hi")]
+    out = collections.defaultdict(list)
+    for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        out[r.doc_id].append([tuple(x) for x in r.spans])
+    at = lambda t, v: (t.index(v), 4, t.index(v) + len(v))
+    assert sorted(out[40]) == sorted([[], [at(rows[21][1], "staff_member_77")], [at("my number is 0170 555 0177 ok", "0170 555 0177")]])
+    assert out[41] == [[at(rows[22][1], "(0170) 555 0199")]] and out[None] == [[at(rows[26][1], "(0170) 555 0188")]]
+    assert out[42] == [[]] and out[43] == [[at("see staff_member_77", "staff_member_77")]] and out[44] == [[]]
+    for i, t in rows[:21]:
+        assert out[i] == [entities(t)]
+
+
 def test_long_values_are_covered_whole(spark):
     values = [hashlib.sha1(str(i).encode()).hexdigest() * 15 for i in range(6)] + ["abcdefgh" * 8 + str(i) for i in range(6)]
     rows = [(i, f"some words here token = {v} and more") for i, v in enumerate(values)]
