@@ -3,9 +3,11 @@
 One pass tokenises a partition and packs its pieces best-fit, largest first.
 Bins that are nearly full are done.  The underfull ones go up a tree: at each
 level the bins of ``fan_in`` neighbours meet, are packed best-fit as items, and
-again only underfull ones rise.  What moves between tasks is (bin, fill) of
-underfull bins, never texts or ids; a group whose round merges almost nothing
-ends its bins there, so a level never carries bins that fit with nothing.
+again all underfull ones rise.  What moves between tasks is (bin, fill) of
+underfull bins, never texts or ids.  A node of the tree holds ``node_bins`` bins
+at most: once all groups are that large the tree ends, so no task ever gathers
+the bins of the whole corpus (and among so many bins best fit finds a partner as
+well as among all).
 
 Words repeat far more often than they are new, so a batch is split at ASCII
 white space (where this tokenizer always splits), and each distinct word is
@@ -161,7 +163,7 @@ def _local(path: str, length: int):
     return pack
 
 
-def _merge(length: int, least_gain: float):
+def _merge(length: int):
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bins, fill = table["bin"].to_numpy(), table["fill"].to_numpy()
         order = np.lexsort((bins, -fill))
@@ -170,13 +172,12 @@ def _merge(length: int, least_gain: float):
         # a merged bin bears the name of its first item
         first = np.zeros(len(fills), np.int64)
         first[into[::-1]] = bins[::-1]
-        rising = (len(bins) - len(fills)) >= least_gain * len(bins)
-        return pa.table({"bin": bins, "into": first[into], "shift": offset, "fill": fills[into], "part": pa.array([key[0].as_py()] * len(bins), pa.int32()), "rising": pa.array([rising] * len(bins))})
+        return pa.table({"bin": bins, "into": first[into], "shift": offset, "fill": fills[into], "part": pa.array([key[0].as_py()] * len(bins), pa.int32())})
 
     return merge
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, nearly_full: float = 0.99, fan_in: int = 8, least_gain: float = 0.01) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, nearly_full: float = 0.99, fan_in: int = 8, node_bins: int = 200_000) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece. ``tokenizer`` is a file that all executors have."""
     C.importable(docs)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -185,17 +186,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     open_bins = pieces.where(F.col("fill") < enough).select("bin", "fill", "part").distinct()
     parts = (pieces.agg(F.max("part")).first()[0] or 0) + 1
     moved = None  # where each bin of the first level has gone
-    while parts > 1:
-        parts = -(-parts // fan_in)
-        merged = open_bins.withColumn("part", (F.col("part") / fan_in).cast("int")).repartition(min(parts, C.partitions_for(docs)), "part")
-        merged = C.checkpoint(merged.groupBy("part").applyInArrow(_merge(length, least_gain), "bin long, into long, shift long, fill long, part int, rising boolean"))
+    while (fewer := max(-(-parts // fan_in), -(-open_bins.count() // node_bins))) < parts:
+        group = F.floor(F.col("part") * F.lit(fewer) / F.lit(parts)).cast("int")
+        parts = fewer
+        merged = open_bins.withColumn("part", group).repartition(min(parts, C.partitions_for(docs)), "part")
+        merged = C.checkpoint(merged.groupBy("part").applyInArrow(_merge(length), "bin long, into long, shift long, fill long, part int"))
         step = merged.select(F.col("bin").alias("at"), "into", "shift")
         if moved is None:
             moved = step.select(F.col("at").alias("bin"), "into", "shift")
         else:
             moved = moved.join(step.withColumnRenamed("into", "next").withColumnRenamed("shift", "more"), F.col("into") == F.col("at"), "left")
             moved = moved.select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
-        open_bins = merged.where(F.col("rising") & (F.col("fill") < enough)).select(F.col("into").alias("bin"), "fill", "part").distinct()
+        open_bins = merged.where(F.col("fill") < enough).select(F.col("into").alias("bin"), "fill", "part").distinct()
     if moved is None:
         out = pieces.withColumnRenamed("bin", "sequence_id")
     else:

@@ -90,16 +90,66 @@ def test_components(spark):
 # ---------------------------------------------------------------- 1 toxicity
 
 
+def tokens(g, text):
+    return [g.classify(w) for w in text.split()]
+
+
 def test_transducers_mark_clauses():
     g = toxicity.Grammar({"idiot$": 5.0, "vequ": 4.0})
-    assert g.classify("vequxyz") == ("insult", 4.0) and g.classify("idiots") is None
-    assert g.clause([g.classify(w) for w in "you are an idiot".split()])["aimed"] == 5.0
-    assert g.clause([g.classify(w) for w in "not an idiot".split()])["negated"] == 5.0
-    assert g.clause([g.classify(w) for w in "she said idiot".split()])["reported"] == 5.0
-    assert g.clause([g.classify(w) for w in ["idiot"]])["insult"] == 5.0
-    assert g.clause([g.classify(w) for w in "never ever would he say idiot".split()])["negated"] == 0
-    assert g.clause([g.classify(w) for w in "i will kill you".split()])["threat"] == 0
-    assert g.clause([g.classify(w) for w in "you i will kill".split()])["threat"] == 1.0
+    assert g.classify("vequxyz")[:2] == ("insult", 4.0) and g.classify("idiots")[0] == "other"
+    of = lambda text: {k: v for k, v in g.clause(tokens(g, text)).items() if v}
+    assert of("they are an idiot") == {"insult": 5.0, "aimed": 5.0} and of("idiot") == {"insult": 5.0}
+    assert of("such idiot") == {"insult": 7.5} and of("idiot idiot") == {"insult": 11.25}
+    assert of("not an idiot") == {"negated": 5.0} and of("never ever would one be idiot") == {"insult": 5.0}
+    assert of("someone said idiot") == {"reported": 5.0} and of('" idiot " idiot') == {"reported": 5.0, "insult": 5.0}
+    assert of("i will kill you") == {"threat": 2.0} and of("kill time") == {} and of("i will not kill you") == {"negated": 2.0}
+    assert of("kill a b you") == {"threat": 1.0} and of("kill a b c you") == {}
+    assert of("go go to hell") == {"insult": 3.0} and of("go to go to shut up") == {"insult": 2.0} and of("i know where you live") == {"threat": 4.0}
+
+
+def test_composed_machine_equals_its_parts():
+    """Against a brute-force reading: each transducer by itself, the clause's amounts added up by hand."""
+    g, rng = toxicity.Grammar({"idiot$": 5.0, "vequ": 4.0}), random.Random(14)
+    vocabulary = ["idiot", "vequa", "not", "said", '"', "you", "kill", "will", "such", "shut", "up", "go", "to", "hell", "drop", "dead", "house", "tree"]
+    for _ in range(500):
+        words, runs = [rng.choice(vocabulary) for _ in range(rng.randint(0, 14))], []
+        for p in toxicity.parts():
+            state, marks = p.start, []
+            for w in words:
+                state, mark, weight = p.read(state, g.classify(w)[0], w)
+                marks.append((mark, weight))
+            runs.append(marks)
+        want, place = collections.Counter(), ""
+        for k, w in enumerate(words):
+            kind, weight, _ = g.classify(w)
+            of = {m: x for m, x in (r[k] for r in runs) if m}
+            if kind in ("insult", "threat"):
+                place = next((p for p in ("negated", "reported") if p in of), "")
+            bad = weight * of.get("insult", 0) + of.get("insult phrase", 0)
+            want[place or "insult"] += bad
+            want[place or "threat"] += of.get("threat", 0) + of.get("threat phrase", 0)
+            want["aimed"] += (bad or (weight if kind == "insult" else 1)) if "aimed" in of else 0
+        assert {k: v for k, v in g.clause(tokens(g, " ".join(words))).items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_toxicity_query(spark, sf, tmp_path):
+    """Held-out labels change nothing, the others do; the sign follows the score."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    got = []
+    for name, table in (("a", labels), ("b", flipped), ("c", labels.limit(0))):
+        (tmp_path / name).mkdir()
+        docs.withColumns({"lang": F.lit("x"), "source": F.lit(name)}).write.parquet(str(tmp_path / name / "documents.parquet"))
+        table.union(table).write.parquet(str(tmp_path / name / "labels.parquet"))
+        got.append({r.doc_id: r for r in toxicity.op1_toxicity(spark, str(tmp_path / name)).collect()})
+    assert got[0] == got[1] and len(got[0]) == docs.count()
+    for i, r in got[0].items():
+        assert (r.held_out, r.predicted) == (zlib.crc32(str(i).encode()) % 5 == 0, int(r.score >= 0.5)) and 0 <= r.score <= 1
+    marks = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    assert len({r.score for r in got[2].values()}) == 1
+    right = [(got[0][i].predicted == y) for i, y in marks.items() if got[0][i].held_out]
+    assert sum(right) >= 0.9 * len(right)
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
 def test_toxicity_finds_planted_words(spark, odd):
@@ -211,6 +261,17 @@ def test_packing_round_trip(spark, sf, documents, texts):
     assert len(bins) <= -(-total // 2048) * 1.06 + 1  # partitions of ten documents leave little choice
 
 
+def test_packing_fills_sequences(spark):
+    """About as few sequences as packing all pieces in one place, whatever the tree's nodes may hold."""
+    rng = np.random.default_rng(15)
+    docs = spark.createDataFrame([(i, "the " * int(n)) for i, n in enumerate(rng.integers(100, 2600, 1500))], "doc_id long, text string").repartition(40)
+    for node_bins in (200_000, 60):
+        rows = packing.pack_documents(docs, packing.tokenizer_path(), node_bins=node_bins).collect()
+        bins = check_pieces(rows, {})
+        whole = packing.best_fit(np.array([r.length for r in rows]), 2048)[2]
+        assert len(bins) <= len(whole) * (1.04 if node_bins > 60 else 1.06)
+
+
 def test_packing_odd_rows(spark, odd):
     from tokenizers import Tokenizer
 
