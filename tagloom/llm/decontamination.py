@@ -21,7 +21,8 @@ only those with hits are read again for their slots.
 Nulls and odd rows: null texts have no windows; items with fewer than
 ``least_words`` words are too short to accuse anyone and are skipped; items
 shorter than a window are matched whole; repeated rows of a document or an item
-give one row; null ids take no part.
+give one row, and texts that share an id are judged one by one (the longest run
+of any counts); null ids take no part.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ _POINT = "\ue004"  #: stands for the point or comma inside a number's value
 _MAYBE = "\ue005"  #: a capitalised word that may be a name; its value stays
 _SIGNS = f"{_NUMBER}{_NAME}{_UNIT}{_POINT}{_MAYBE}"
 _BETWEEN = rf"[^\p{{L}}\p{{M}}\p{{N}}{_SIGNS}]+"
-_NUMBERS = r"[0-9](?<![\p{L}\p{N}.,].)[0-9]*+(?:[.,][0-9]++){0,8}(?![\p{N}])"
+_NUMBERS = r"[0-9](?<![\p{L}\p{N}.,].)[0-9]*+(?:[.,][0-9]++)*+(?![\p{N}])"
 _NAMES = r"\p{Lu}(?<=[\p{Ll},] \p{Lu})\p{Ll}++"
 _CAPITALS = rf"\p{{Lu}}(?<![\p{{L}}\p{{M}}\p{{N}}{_SIGNS}]\p{{Lu}})\p{{Ll}}++(?![\p{{L}}\p{{M}}\p{{N}}{_SIGNS}])"
 
@@ -58,7 +59,7 @@ def _words(text: Column, keep: bool) -> Column:
     x = F.regexp_replace(x, _NAMES, f" {_NAME}{value} ")
     numbers = F.regexp_replace(x, _NUMBERS, f" {_NUMBER}{value} ")
     if keep:
-        numbers = F.regexp_replace(numbers, rf"[.,](?<={_NUMBER}[0-9.,]{{0,200}})", _POINT)
+        numbers = F.regexp_replace(numbers, rf"(?:(?<={_NUMBER})|\G(?!\A))([0-9]++)[.,](?=[0-9])", f"$1{_POINT}")
     units = F.regexp_replace(numbers, rf"(?i)({_NUMBER}[^ ]*+ ++)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}{'$2' if keep else ''} ")
     x = F.when(text.rlike("[0-9]"), units).otherwise(x)
     x = F.regexp_replace(x, _CAPITALS, f"{_MAYBE}$0")
@@ -86,15 +87,18 @@ def windows(hashes: str, width: int) -> Column:
     return F.when(F.size(hashes) >= width, F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])))
 
 
-def _all_windows(df: DataFrame, key: str, widths: list[int], place: str) -> DataFrame:
+_DOC = ["doc_id", "dh"]  #: the name of a document: its id and its text's hash
+
+
+def _all_windows(df: DataFrame, key: list[str], widths: list[int], place: str) -> DataFrame:
     """Windows of both readings; the second only where it is another."""
     plain = F.transform("t", lambda w: F.xxhash64(_plain(w)))
     names = F.transform("t", lambda w: F.xxhash64(F.when(w.startswith(_MAYBE), _NAME).otherwise(w)))
-    out, df = None, df.select(key, plain.alias("t"), names.alias("t2"))
+    out, df = None, df.select(*key, plain.alias("t"), names.alias("t2"))
     for w in widths:
         both = F.arrays_zip(windows("t", w).alias("a"), windows("t2", w).alias("b"))
-        part = df.select(key, F.posexplode(both).alias(place, "ab"))
-        part = part.select(key, place, F.explode(F.when(F.col("ab.a") == F.col("ab.b"), F.array("ab.a")).otherwise(F.array("ab.a", "ab.b"))).alias("h")).withColumn("w", F.lit(w))
+        part = df.select(*key, F.posexplode(both).alias(place, "ab"))
+        part = part.select(*key, place, F.explode(F.when(F.col("ab.a") == F.col("ab.b"), F.array("ab.a")).otherwise(F.array("ab.a", "ab.b"))).alias("h")).withColumn("w", F.lit(w))
         out = part if out is None else out.union(part)
     return out
 
@@ -148,26 +152,26 @@ def _contradictions(pairs: str) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, min_words: int = MIN_WORDS, least_words: int = LEAST_WORDS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``doc_id, item_id, start, words, coverage, slots`` of each accepted run (the longest of a document and item)."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tagged(F.col(item_text)).alias("tags")).where("item_id is not null").dropDuplicates(["item_id", "tags"])
-    items = C.checkpoint(items.withColumns({"t": template(F.col("tags")), "size": F.size("tags")}).where(F.col("size") >= least_words))
+    items = items.withColumns({"item": F.xxhash64("item_id", F.array_join("tags", " ")), "t": template(F.col("tags")), "size": F.size("tags")})
+    items = C.checkpoint(items.where(F.col("size") >= least_words))
     # at most ``width`` numbers
     short = sorted(r[0] for r in items.where(F.col("size") < width).select("size").distinct().collect())
     long = items.where(F.col("size") >= width)
-    index = _all_windows(long, "item_id", [width], "ipos")
+    index = _all_windows(long, ["item"], [width], "ipos")
     for w in short:
-        index = index.union(_all_windows(items.where(F.col("size") == w), "item_id", [w], "ipos"))
+        index = index.union(_all_windows(items.where(F.col("size") == w), ["item"], [w], "ipos"))
     index = C.checkpoint(index.distinct())
     small = index.count() <= broadcast_windows
-    words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = _all_windows(words.select("doc_id", template_of(F.col("text")).alias("t")), "doc_id", [width, *short], "pos")
-    hits = found.join(F.broadcast(index) if small else index, ["w", "h"]).select("doc_id", "item_id", "pos", (F.col("pos") - F.col("ipos")).alias("shift"), "w").distinct()
-    island = F.col("pos") - F.row_number().over(W.partitionBy("doc_id", "item_id", "shift", "w").orderBy("pos"))
-    runs = hits.withColumn("island", island).groupBy("doc_id", "item_id", "shift", "w", "island").agg(F.min("pos").alias("start"), (F.count("*") + F.col("w") - 1).cast("int").alias("words"))
-    sizes = items.groupBy("item_id").agg(F.max("size").alias("size"))
-    runs = runs.join(sizes, "item_id").where(F.col("words") >= F.least(F.lit(min_words), "size"))
-    runs = C.checkpoint(runs.select("doc_id", "item_id", "shift", "start", "words"))
+    words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("dh", F.xxhash64("text"))
+    found = _all_windows(words.select(*_DOC, template_of(F.col("text")).alias("t")), _DOC, [width, *short], "pos")
+    hits = found.join(F.broadcast(index) if small else index, ["w", "h"]).select(*_DOC, "item", "pos", (F.col("pos") - F.col("ipos")).alias("shift"), "w").distinct()
+    island = F.col("pos") - F.row_number().over(W.partitionBy(*_DOC, "item", "shift", "w").orderBy("pos"))
+    runs = hits.withColumn("island", island).groupBy(*_DOC, "item", "shift", "w", "island").agg(F.min("pos").alias("start"), (F.count("*") + F.col("w") - 1).cast("int").alias("words"))
+    runs = runs.join(items.select("item", "size"), "item").where(F.col("words") >= F.least(F.lit(min_words), "size"))
+    runs = C.checkpoint(runs.select(*_DOC, "item", "shift", "start", "words"))
     # the runs' own words, from the few documents that have a run
-    hit = words.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", tagged(F.col("text")).alias("d"))
-    both = runs.join(hit, "doc_id").join(items.select("item_id", "tags", "size"), "item_id")
+    hit = words.join(runs.select(*_DOC).distinct(), _DOC, "left_semi").dropDuplicates(_DOC).select(*_DOC, tagged(F.col("text")).alias("d"))
+    both = runs.join(hit, _DOC).join(items.select("item", "item_id", "tags", "size"), "item")
     both = both.withColumns({"d": F.slice("d", F.col("start") + 1, F.col("words")), "i": F.slice("tags", F.col("start") - F.col("shift") + 1, F.col("words"))})
     both = both.withColumn("pairs", F.zip_with("i", "d", _pair))
     both = both.select("doc_id", "item_id", "start", "size", "pairs", F.explode(F.array_distinct(F.array(_contradictions("pairs"), _changes("pairs")))).alias("breaks"))

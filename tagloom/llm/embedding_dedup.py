@@ -30,7 +30,7 @@ from tagloom.llm import common as C
 from tagloom.llm import components as G
 
 THRESHOLD = 0.95
-BLOCK = 4096
+BLOCK, LEAST_BLOCK = 32_768, 1024  #: vectors of a block, at most and (with few vectors) about at least
 _STRIPE = 512
 _EXACT_TERMS = 1000  #: so many products of int8 values add up exactly in float32
 
@@ -39,6 +39,7 @@ class _Side:
     def __init__(self, payload: bytes, dims: int):
         self.rep, self.count, flat = C.unpack(payload)
         x = flat.reshape(len(self.rep), dims).astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
         self.x = x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def quantise(self, step: float) -> None:
@@ -103,7 +104,9 @@ def _compare(threshold: float):
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         dims, blocks = key[0].as_py(), table["block"].to_pylist()
         sides = [_Side(p, dims) for _, p in sorted(zip(blocks, table["payload"].to_pylist(), strict=True))]
-        a, b, same = sides[0], sides[-1], len(sides) == 1
+        a, b, same = sides[0], sides[-1], key[1].as_py() == key[2].as_py()
+        if len(sides) == 1 and not same:  # the other block has no vector of this length
+            return pa.table({"rep": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
         if same:
             b = _Side(table["payload"][0].as_py(), dims)
         la, lb, u, v = tile(a, b, same, threshold)
@@ -125,8 +128,10 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e")).withColumn("good", F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull())
     rows = rows.withColumns({"k1": F.when(F.col("good"), F.xxhash64("e")), "k2": F.when(F.col("good"), F.xxhash64(F.lit(7), "e"))})
     classes = C.checkpoint(rows.where("good").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("e").alias("e"), F.size(F.first("e")).alias("dims")))
-    blocks = max(1, math.ceil(classes.count() / block))
-    n = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks * (blocks + 1) // 2, 100_000))
+    count, cores = classes.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    # each block travels to as many tiles as there are blocks: as few as give every core a tile, as many as memory asks for
+    blocks = max(1, math.ceil(count / block), min(math.ceil(count / LEAST_BLOCK), math.ceil((2 * cores) ** 0.5)))
+    n = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * (blocks + 1) // 2)
     packed = classes.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")).groupBy("dims", "block").applyInArrow(_pack, "dims int, block int, payload binary")
     packed = C.checkpoint(packed)
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

@@ -139,18 +139,19 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     return {k: (v / np.linalg.norm(v)).astype(np.float32) for k, v in sorted(found.items()) if v.any()}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dims: int = DIMENSIONS, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score`` (the cosine, not below 0), which replace columns of those names."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dims: int = DIMENSIONS, keep: list[str] | None = None, names_out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns with ``lang_pred`` and ``score`` (the cosine, not below 0), or other ``names_out``; they replace columns of their names."""
     C.importable(docs)
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names_out]
     inside = text_col in kept  # then the text travels once
-    source = docs.select(*kept) if inside else docs.select(*kept, F.col(text_col).alias("_text"))
-    text_name = text_col if inside else "_text"
+    text_name = text_col if inside else C.fresh(docs, "text")
+    source = docs.select(*kept) if inside else docs.select(*kept, F.col(text_col).alias(text_name))
+    text_at = source.columns.index(text_name)
     names, matrix = list(prototypes), np.stack([*prototypes.values()]) if prototypes else np.zeros((0, dims), np.float32)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, langs, scores = [t or "" for t in b.column(text_name).to_pylist()], [], []
+            texts, langs, scores = [t or "" for t in b.column(text_at).to_pylist()], [], []
             for part in _chunks(texts):
                 bundles, has = profile(texts[part], dims)
                 if not names:
@@ -162,9 +163,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 langs += [names[k] if h else "und" for k, h in zip(best.tolist(), has.tolist(), strict=True)]
                 scores += np.where(has, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0).astype(float).tolist()
             columns, fields = b.columns[: len(kept)], list(b.schema)[: len(kept)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=pa.schema([*fields, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=pa.schema([*fields, pa.field(names_out[0], pa.string()), pa.field(names_out[1], pa.float64())]))
 
-    schema = T.StructType([*source.schema.fields[: len(kept)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*source.schema.fields[: len(kept)], T.StructField(names_out[0], T.StringType()), T.StructField(names_out[1], T.DoubleType())])
     return source.mapInArrow(lambda b: C.released(label(b)), schema)
 
 
@@ -172,10 +173,10 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(C.text_crc(id_col), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dims: int = DIMENSIONS, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dims: int = DIMENSIONS, keep: list[str] | None = None, names_out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Learns from three quarters of the labelled documents and labels all of them."""
     learn = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col))
-    return predict(docs, train(learn, text_col, lang_col, dims), text_col, dims, keep)
+    return predict(docs, train(learn, text_col, lang_col, dims), text_col, dims, keep, names_out)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

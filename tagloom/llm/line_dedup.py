@@ -211,5 +211,25 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.greatest(F.size("_runs"), F.lit(0)).alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+#: A line goes if a run that ends the empty lines from it on, or begins with the line before them, has an earlier copy.
+ORACLE = """
+WITH l AS (
+  SELECT doc_id, generate_subscripts(s, 1) AS pos, unnest(s) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
+x AS (
+  SELECT *, min(CASE WHEN line <> '' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nx,
+         max(CASE WHEN line <> '' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv FROM l),
+z AS (
+  SELECT x.doc_id, x.pos, x.line,
+         x.nx IS NOT NULL AND row_number() OVER (PARTITION BY a.line, x.nx - x.pos ORDER BY x.doc_id, x.pos) > 1
+         OR x.pv IS NOT NULL AND row_number() OVER (PARTITION BY b.line, x.pos - x.pv ORDER BY x.doc_id, x.pos) > 1 AS gone
+  FROM x LEFT JOIN l a ON a.doc_id = x.doc_id AND a.pos = x.nx LEFT JOIN l b ON b.doc_id = x.doc_id AND b.pos = x.pv),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts FROM z),
+g AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_runs,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_removed, 0)::INT AS n_removed, coalesce(n_runs, 0)::INT AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
 QUERIES = {"op9_line_dedup": op9_line_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_line_dedup": ORACLE}

@@ -153,5 +153,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("intervals").alias("n_intervals"))
 
 
+ORACLE = """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM win) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM hit),
+runs AS (SELECT doc_id, count(*) AS n, count(*) FILTER (pos - 1 <> coalesce(p, -1)) AS k
+         FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM gone) GROUP BY doc_id),
+kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.pos) AS kept
+         FROM (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM w) x ANTI JOIN gone g ON g.doc_id = x.doc_id AND g.pos = x.pos GROUP BY x.doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256, coalesce(r.k, 0)::INT AS n_intervals
+FROM w LEFT JOIN runs r ON r.doc_id = w.doc_id LEFT JOIN kept k ON k.doc_id = w.doc_id"""
+
 QUERIES = {"op10_substring_dedup": op10_substring_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_substring_dedup": ORACLE}

@@ -197,6 +197,14 @@ def test_consistent_parts_are_caught(spark):
     assert got == {(1, 1): (0, 16, 1), (2, 1): (4, 29, 1), (3, 2): (1, 10, 2), (5, 1): (0, 33, 1)}
 
 
+def test_clashing_ids_are_judged_one_by_one(spark):
+    long = "A train leaves the town at noon and returns after three hours, how far did the old train travel in total that day?"
+    items = spark.createDataFrame([(1, "Short one here now ok"), (1, long), (2, "the sum of 1,2,3,4,5,6,7,8,9,10,11.5 and nothing else")], "item_id long, text string")
+    docs = frame(spark, [(1, "so short one here now ok"), (1, "nothing of that"), (2, long), (2, "x " + long), (3, "the sum of 9,8,7,6,5,4,3,2,1,0,1.5 and nothing else"), (3, None)])
+    got = {(r.doc_id, r.item_id): (r.start, r.words) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(1, 1): (1, 5), (2, 1): (0, 23), (3, 2): (0, 7)}
+
+
 def test_names_at_any_place_are_caught(spark):
     text = "Tom has 5 marbles. Tom gives 3 of them to a friend.{}Tom buys 4 more marbles, so how many are left? "
     items = spark.createDataFrame([(1, text.format(" ")), (2, "Short one here with a few words now ok")], "item_id long, text string")
@@ -401,10 +409,12 @@ def test_embeddings(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(40, 16))
     rows = [(i, (base[i % 40] * rng.uniform(0.5, 3) + rng.normal(size=16) * rng.choice([0, 0.05, 0.2, 0.32])).tolist()) for i in range(300)]
+    rows += [(310, [1e200] * 16), (311, [1e200] * 15 + [1.1e200]), (312, [1e-200] * 16), (313, [1.0, 2.0]), (314, [2.0, 4.0]), (315, [5.0])]
     rows += [(300, rows[0][1]), (301, rows[0][1]), (302, None), (303, [0.0] * 16), (304, [float("nan")] * 16), (305, [None] + [1.0] * 15), (306, [float("inf")] * 16), (307, []), (None, rows[0][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"rep": F.lit(1), "n": F.lit("x")})
     good = {i: np.array(v) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
-    pairs = [(a, b) for a in good for b in good if a < b and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= 0.95]
+    unit = {i: (v / np.abs(v).max()) / np.linalg.norm(v / np.abs(v).max()) for i, v in good.items()}
+    pairs = [(a, b) for a in good for b in good if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
     want, n = union(pairs, [r[0] for r in rows if r[0] is not None]), collections.Counter(x for p in pairs for x in p)
     assert len(pairs) > 200
     for block in (4096, 32):
