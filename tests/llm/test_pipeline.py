@@ -39,9 +39,60 @@ def test_stages(spark, sf, tmp_path):
     assert max(used.values()) <= 2048
 
 
-def test_run_equals_stages(spark, sf):
-    out = corpus_pipeline.run(spark, sf)
-    assert out.select("doc_id").distinct().count() > 100
+def test_run_against_brute_force(spark, sf):
+    """All that follows language ID, done again in plain Python: lines, near copies, benchmark passages, ids and places."""
+    import re
+
+    from tests.llm.test_operators import brute_links, check_pieces, shingles, union
+    from tokenizers import Tokenizer
+
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in corpus_pipeline.identify_language(spark, source, sf).select("doc_id", "text").collect()}
+    assert {r.doc_id for r in source.collect() if not re.search(r"[^\W\d_]", r.text or "")} == {r.doc_id for r in source.collect()} - texts.keys()
+    seen, cut = set(), {}
+    for d in sorted(texts):
+        lines, gone = texts[d].split("\n"), set()
+        for a in range(len(lines)):  # runs of one text line, alone or with the empty lines before or behind it
+            z = a
+            while z < len(lines) and not lines[z]:
+                z += 1
+            runs = [(a, z + 1)] if z < len(lines) else []
+            z = a + 1
+            while lines[a] and z < len(lines) and not lines[z]:
+                z += 1
+                runs.append((a, z))
+            for x, y in runs:
+                if (run := tuple(lines[x:y])) in seen:
+                    gone |= set(range(x, y))
+                seen.add(run)
+        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        if not gone or kept.strip(" "):
+            cut[d] = kept
+    sets = {d: shingles(t) for d, t in cut.items()}
+    of = union(brute_links(sets), sets)
+    word, items = re.compile(r"\w+"), set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = word.findall(r.text.lower())
+        items |= {tuple(w[k : k + 10]) for k in range(len(w) - 9)}
+    clean = {d: t for d, t in cut.items() if of[d] == d and not any(tuple(w[k : k + 10]) in items for w in [word.findall(t.lower())] for k in range(len(w) - 9))}
+    assert len(clean) < len(cut) < len(texts) or len(clean) < len(texts) - 10
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in rows} == clean.keys()
+    tok = Tokenizer.from_file(corpus_pipeline.packing.tokenizer_path())
+    check_pieces(rows, {d: [*tok.encode(t, add_special_tokens=False).ids, 0] for d, t in clean.items()})
+
+
+def test_stages_on_odd_tables(spark, sf):
+    """Empty tables, repeated rows and columns that bear the names of the operators' own."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    docs = docs.union(docs.limit(5)).withColumns({c: F.lit(f"own {c}") for c in ("score", "lang_pred", "_removed", "_lines", "_runs", "doc", "key", "t", "dh", "th")})
+    for some in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, some, sf)
+            assert out.columns == some.columns
+            rows = out.collect()
+            assert len(rows) <= 45 and all(r[c] == f"own {c}" for r in rows for c in ("score", "lang_pred", "_removed", "_lines", "_runs", "doc", "key", "t", "dh", "th")), name
+        corpus_pipeline.STAGES[-1][1](spark, some, sf).collect()
 
 
 def test_unlearned_languages_go(spark, sf):
