@@ -27,16 +27,21 @@ NOISE = 4 / language_id.DIMENSIONS**0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labelled = language_id.identify(docs)
+    lang, score = common.fresh(docs, "lang_pred"), common.fresh(docs, "score")
+    labelled = language_id.identify(docs, names_out=(lang, score))
     few = F.length(F.regexp_replace("text", r"\P{L}+", "")) < FEW_LETTERS
-    like = (F.col("score") >= NOISE) | ((F.col("score") >= LEAST_COSINE) & few)
-    return labelled.where((F.col("lang_pred") != "und") & like).select(*docs.columns)
+    like = (F.col(score) >= NOISE) | ((F.col(score) >= LEAST_COSINE) & few)
+    return labelled.where((F.col(lang) != "und") & like).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.remove_repeated_lines(docs)
-    emptied = (F.col("_removed") > 0) & (F.trim(F.coalesce("text", F.lit(""))) == "")
-    length = F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    prefix = common.fresh(docs, "line_dedup_")  # apart from the table's own columns
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    cut = line_dedup.remove_repeated_lines(docs, prefix=prefix)
+    removed = F.col(f"{prefix}removed") > 0
+    emptied = removed & (F.trim(F.coalesce("text", F.lit(""))) == "")
+    length = F.when(removed, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     if length is not None:
         cut = cut.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
     return cut.where(~emptied).select(*docs.columns)
@@ -65,7 +70,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Hyperdimensional profiles, suffix ranks and tokenizers have no SQL form; the pipeline is tested against a brute-force version.
+#: Hyperdimensional profiles and tokenizers have no SQL form; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
