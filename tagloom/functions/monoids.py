@@ -22,6 +22,7 @@ class Monoid:
     combine: Combine
     zero: object = None
     native: Callable[[Column], Column] | None = None
+    whole: Callable[[Column], Column] | None = None  #: of an array, where combining two results isn't enough
 
     def agg(self, x: Column, zero: bool = True, strict: bool = False) -> Column:
         """The aggregate of ``x`` over a group; of nothing: the zero, else null (or an error if ``strict``)."""
@@ -40,6 +41,8 @@ class Monoid:
 
     def fold(self, array: Column, zero: bool = True) -> Column:
         """The same over an array value."""
+        if self.whole is not None:
+            return self.whole(array)
         rest = F.slice(array, 2, F.greatest(F.size(array) - 1, F.lit(0)))
         out = F.when(F.size(array) > 0, F.aggregate(rest, F.get(array, F.lit(0)), self.combine))
         return F.coalesce(out, F.lit(self.zero)) if self.zero is not None and zero else out
@@ -71,7 +74,13 @@ monoid("||", False, lambda a, b: a | b, F.bool_or)
 monoid("count", 0, lambda a, b: a + b, lambda x: F.count(F.lit(1)))
 monoid("min", None, F.least, F.min)
 monoid("max", None, F.greatest, F.max)
-monoid("avg", None, lambda a, b: (a + b) / 2, F.avg)
+
+
+def _no_mean(a: Column, b: Column) -> Column:
+    raise TypeError("a mean can't be made of two means: keep sum and count, and divide at the end")
+
+
+_MONOIDS["avg"] = Monoid("avg", _no_mean, None, F.avg, lambda x: F.try_divide(F.aggregate(x, F.lit(0.0), lambda s, v: s + v), F.size(x).cast("double")))
 monoid("++", None, F.concat, lambda x: F.flatten(F.collect_list(x)))
 
 

@@ -64,6 +64,8 @@ class Compiler:
 
     def scalar(self, e):
         """A closed expression's single value, on the driver."""
+        if e[0] == "lit":
+            return e[1]
         row = Row(self.spark.range(1).select(F.lit(0).alias("__unit")), {})
         v, row = self.eval(e, row)
         return v if isinstance(v, Bag) else row.df.select(v.alias("v")).first()[0]
@@ -138,8 +140,8 @@ class Compiler:
         if kind == "field":
             v, row = self.eval(e[1], row)
             if isinstance(v, Bag):
-                if e[2] == "head":
-                    return self.first(v), row
+                if e[2] == "head":  # with an order: the top row of each partition, then of these
+                    return self.one_row(v.df.limit(1).withColumnRenamed("value", "__agg"), row)
                 raise TypeError(f"a bag has no field {e[2]}")
             if e[2] in _OF_ARRAYS and isinstance(row.type_of(v), (T.ArrayType, type(None))):
                 return _OF_ARRAYS[e[2]](v), row
@@ -179,9 +181,6 @@ class Compiler:
         step = n[2] if len(n) > 2 else 1
         return self.spark.range(n[0], n[1] + (1 if step > 0 else -1), step).withColumnRenamed("id", "value")
 
-    def first(self, bag: Bag) -> Column:
-        return F.lit(bag.df.first()[0])
-
     def local(self, v) -> Column:
         if isinstance(v, Bag):
             raise TypeError("a distributed bag can't be a value of a row here: use a sub-query with a condition on the row")
@@ -195,6 +194,12 @@ class Compiler:
             return v.cast(casts[name]), row
         if args and args[0][0] == "lambda":
             var, body = args[0][1][0], args[0][2]
+            if name == "reduce":
+                one, two = args[0][1]
+                both = lambda x, y: self.eval(body, row.with_vars(None, {one: x, two: y}))[0]
+                if isinstance(v, Bag):
+                    raise TypeError("reduce a bag by a monoid: op/bag")
+                return F.when(F.size(v) > 0, F.aggregate(F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))), F.get(v, F.lit(0)), both)), row
             f = lambda x: self.eval(body, row.with_vars(None, {var: x}))[0]
             if isinstance(v, Bag):
                 x = self.eval(body, Row(v.df, row.vars | {var: F.col("value")}))[0]
@@ -264,7 +269,8 @@ class Compiler:
                 name = self.source(q[2])
                 if isinstance(v, Bag):
                     side = v.df.withColumnRenamed("value", name)
-                    # a marked small side ("<--") stays the optimiser's choice: it knows the size
+                    if q[3] and estimated_bytes(side) <= SMALL_BYTES:  # a marked small side ("<--") is broadcast if it is one
+                        side = F.broadcast(side)
                     row = Row(row.df.crossJoin(side), row.vars)
                 else:
                     row = Row(row.df.withColumn(name, F.explode(v)), row.vars)
@@ -295,10 +301,10 @@ class Compiler:
     def select(self, e, row: Row):
         """A bag, if it depends on no variable of a row; else an array for each row."""
         if free(e) & row.vars.keys():
-            row = numbered(row)
-            value, df = self.correlated(e, row)
-            got = df.groupBy("__row").agg(F.collect_list(value).alias("__agg"))
-            return self.back(row, got, lambda c: F.coalesce(c, F.array()))
+            row, key = numbered(row)
+            value, df = self.correlated(e, row, key)
+            got = df.groupBy(key).agg(F.collect_list(value).alias("__agg"))
+            return self.back(row, got, key, lambda c: F.coalesce(c, F.array()))
         return Bag(self.comprehension(e, Row(self.spark.range(1).select(F.lit(0).alias("__unit")), {}))), row
 
     def comprehension(self, e, base: Row) -> DataFrame:
@@ -324,7 +330,9 @@ class Compiler:
         out = row.df.select(self.local(v).alias("value"))
         return out.distinct() if distinct else out
 
-    def grouped(self, e, row: Row) -> DataFrame:
+    def grouped(self, e, row: Row, by: list[str] | None = None, outer: dict[str, Column] | None = None) -> DataFrame:
+        """Groups of a select; ``by`` are further key columns, which stay, and ``outer`` the variables that they decide."""
+        by, outer = by or [], outer or {}
         _, distinct, head, quals, where, (pattern, key), second, having, order = e
         sides = [(row, pattern, key)]
         if second:
@@ -337,7 +345,7 @@ class Compiler:
                 k = ("var", p[1]) if p[0] == "var" else ("tuple", [("var", x[1]) for x in p[1]])
             v, r = self.eval(k, r)
             keys = pattern_vars(p)
-            lifted = {n: c for n, c in r.vars.items() if n not in keys}
+            lifted = {n: c for n, c in r.vars.items() if n not in keys and n not in outer}
             aggs: dict[str, tuple] = {}
             for x in exprs:
                 for red in reductions(x, set(lifted)):
@@ -349,7 +357,11 @@ class Compiler:
             for n in sorted(set().union(*[loose(x, reduced) for x in exprs]) & lifted.keys()):
                 aggs[f"__l{s}_{n}"] = (F.collect_list(lifted[n]), None)
                 names[n] = f"__l{s}_{n}"
-            got = r.df.groupBy(v.alias("__key")).agg(*[a.alias(n) for n, (a, _) in aggs.items()]) if aggs else r.df.select(v.alias("__key")).distinct()
+            used = set().union(*[free(x) for x in exprs]) & outer.keys()
+            for n in sorted(used):
+                aggs[f"__o{s}_{n}"] = (F.first(outer[n]), None)
+                names[n] = f"__o{s}_{n}"
+            got = r.df.groupBy(*by, v.alias("__key")).agg(*[a.alias(n) for n, (a, _) in aggs.items()]) if aggs else r.df.select(*by, v.alias("__key")).distinct()
             frames.append((got, aggs))
         if len(frames) == 1:
             df = frames[0][0]
@@ -370,11 +382,11 @@ class Compiler:
             k, known = self.eval(swap(x), known)
             ks.append((k, desc))
         v, known = self.eval(swap(head), known)
-        out = known.df.select(v.alias("value"), *[k.alias(f"__k{i}") for i, (k, _) in enumerate(ks)])
+        out = known.df.select(*by, v.alias("value"), *[k.alias(f"__k{i}") for i, (k, _) in enumerate(ks)])
         out = out.distinct() if distinct else out
         if ks:
             out = out.orderBy(*[F.col(f"__k{i}").desc() if d else F.col(f"__k{i}") for i, (_, d) in enumerate(ks)])
-        return out.select("value")
+        return out.select(*by, "value")
 
     # ---- reductions and sub-queries
     def reduce(self, op: str, e, row: Row):
@@ -398,30 +410,32 @@ class Compiler:
         # one row, by construction
         return F.col(name), Row(row.df.crossJoin(F.broadcast(got.withColumnRenamed("__agg", name))), row.vars)
 
-    def correlated(self, e, row: Row) -> tuple[Column, DataFrame]:
-        """The sub-query's elements for each numbered outer row."""
-        if "__row" not in row.df.columns:
-            raise RuntimeError("rows aren't numbered")
-        _, _, head, quals, where, group, *_ = e
-        if group:
-            raise SyntaxError("a correlated sub-query with group by isn't supported: group first and join")
+    def correlated(self, e, row: Row, key: str) -> tuple[Column, DataFrame]:
+        """The sub-query's elements for each outer row (numbered by ``key``)."""
+        _, distinct, head, quals, where, group, second, *_ = e
+        if second:
+            raise SyntaxError("a correlated sub-query with two groupings isn't supported")
         inner = self.quals(quals, where, row)
+        if group:  # groups of the outer row: its number is one more key
+            return F.col("value"), self.grouped(e, Row(inner.df, inner.vars), [key], row.vars)
         v, inner = self.eval(head, inner)
+        if distinct:
+            return F.col("value"), inner.df.select(key, v.alias("value")).distinct()
         return v, inner.df
 
     def sub_reduce(self, m: monoids.Monoid, e, row: Row, zero):
         if not (free(e) & row.vars.keys()):
             df = self.comprehension(e, Row(self.spark.range(1).select(F.lit(0).alias("__unit")), {}))
             return self.one_row(df.agg(m.agg(F.lit(1) if m.name == "count" else F.col("value")).alias("__agg")), row)
-        row = numbered(row)
-        value, df = self.correlated(e, row)
-        got = df.groupBy("__row").agg(m.agg(F.lit(1) if m.name == "count" else value).alias("__agg"))
-        return self.back(row, got, lambda c: F.coalesce(c, F.lit(zero)) if zero is not None else c)
-
-    def back(self, row: Row, got: DataFrame, default: Callable[[Column], Column]):
-        name, key = f"__s{next(_fresh)}", f"__r{next(_fresh)}"
-        side = got.withColumnsRenamed({"__agg": name, "__row": key})
-        df = row.df.join(side, F.col("__row") == F.col(key), "left").drop(key)
+        row, key = numbered(row)
+        value, df = self.correlated(e, row, key)
+        got = df.groupBy(key).agg(m.agg(F.lit(1) if m.name == "count" else value).alias("__agg"))
+        return self.back(row, got, key, lambda c: F.coalesce(c, F.lit(zero)) if zero is not None else c)
+
+    def back(self, row: Row, got: DataFrame, key: str, default: Callable[[Column], Column]):
+        name, other = f"__s{next(_fresh)}", f"__r{next(_fresh)}"
+        side = got.withColumnsRenamed({"__agg": name, key: other})
+        df = row.df.join(side, F.col(key) == F.col(other), "left").drop(other)
         return default(F.col(name)), Row(df, row.vars)
 
     def repeat(self, e):
@@ -482,10 +496,18 @@ class Row:
             return None
 
 
-def numbered(row: Row) -> Row:
-    if "__row" in row.df.columns:
-        row = Row(row.df.drop("__row"), row.vars)
-    return Row(cut(row.df.withColumn("__row", F.monotonically_increasing_id())), row.vars)
+def numbered(row: Row) -> tuple[Row, str]:
+    """The rows with a number, and its column; each sub-query has one of its own, so they can be nested."""
+    key = f"__row{next(_fresh)}"
+    return Row(cut(row.df.withColumn(key, F.monotonically_increasing_id())), row.vars), key
+
+
+SMALL_BYTES = 10_000_000  #: a marked side is broadcast up to this size
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of a plan's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def match(p, v: Column, row: Row) -> tuple[list[Column], dict[str, Column]]:
@@ -512,11 +534,15 @@ def match(p, v: Column, row: Row) -> tuple[list[Column], dict[str, Column]]:
             names |= n
         return tests, names
     if kind == "list":
-        tests, names = [F.size(v) == len(p[1])], {}
-        for i, x in enumerate(p[1]):
+        fixed = [x for x in p[1] if x[0] != "rest"]
+        open_end = len(fixed) < len(p[1])  # rest@_* at the end
+        tests, names = [F.size(v) >= len(fixed) if open_end else F.size(v) == len(fixed)], {}
+        for i, x in enumerate(fixed):
             t, n = match(x, F.get(v, F.lit(i)), row)
             tests += t
             names |= n
+        if open_end:
+            names[p[1][-1][1]] = F.slice(v, F.lit(len(fixed) + 1), F.greatest(F.size(v) - len(fixed), F.lit(0)))
         return tests, names
     head, rest = match(p[1], F.get(v, F.lit(0)), row), match(p[2], F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))), row)
     return [F.size(v) > 0, *head[0], *rest[0]], head[1] | rest[1]
@@ -566,16 +592,16 @@ def substitute(e, names: dict[str, str]):
     return tuple(substitute(x, names) if isinstance(x, (tuple, list)) else x for x in e)
 
 
-def query(spark: SparkSession, text: str, explain: bool = False, ops: dict[str, Callable] | None = None, **env: object) -> DataFrame:
-    """One query as a DataFrame; ``env``: DataFrames, values and functions on Columns by name."""
+def query(spark: SparkSession, text: str, explain: bool = False, ops: dict[str, Callable] | None = None, **env: object) -> DataFrame | tuple[DataFrame, ...]:
+    """One query as a DataFrame (a ``repeat`` over several bags: one for each); ``env``: DataFrames, values and functions on Columns by name."""
     parser = Parser(text, {n for n in monoids._MONOIDS if n.isidentifier()}, {o: 6 for o in ops or {}})
     tree = parser.expr()
     parser.take("")
     compiler = Compiler(spark, env, ops)
     row = Row(spark.range(1).select(F.lit(0).alias("__unit")), {})
     v, row = compiler.eval(tree, row)
-    if isinstance(v, tuple):
-        raise TypeError("a query that gives several bags: take one")
+    if isinstance(v, tuple):  # a repeat over several bags
+        return tuple(b.rows() for b in v)
     out = v.rows() if isinstance(v, Bag) else row.df.select(v.alias("value"))
     if explain:
         print(tree)

@@ -87,6 +87,10 @@ class Parser:
         if n == "_":
             return ("any",)
         if self.maybe("@"):
+            if self.tok == "_" and self.peek() == "*":
+                self.take()
+                self.take()
+                return ("rest", n)
             return ("as", n, self.pattern())
         if self.maybe("("):
             ps = self.many(self.pattern, ")")
@@ -243,6 +247,8 @@ class Parser:
                     args = self.many(self.argument, ")")
                     self.take(")")
                     e = ("method", e, n, args)
+                elif self.tok == "{" and self.peek() == "case":
+                    e = ("method", e, n, [("lambda", ["_case"], ("match", ("var", "_case"), self.arms()))])
                 else:
                     e = ("field", e, n)
             elif self.tok == "#":
@@ -255,15 +261,7 @@ class Parser:
                 e = ("index", e, index)
             elif self.tok == "match":
                 self.take()
-                self.take("{")
-                arms = []
-                while self.maybe("case"):
-                    p = self.pattern()
-                    guard = self.expr() if self.maybe("by") else None
-                    self.take("=>")
-                    arms.append((p, guard, self.expr()))
-                self.take("}")
-                e = ("match", e, arms)
+                e = ("match", e, self.arms())
             else:
                 return e
 
@@ -272,7 +270,20 @@ class Parser:
             n = self.name()
             self.take("=>")
             return ("lambda", [n], self.expr())
-        return self.expr()
+        e = self.expr()
+        names = [f"_{i}" for i in range(count_holes(e))]  # _ + 1, _ + _: each is a parameter of its own
+        return ("lambda", names, fill_holes(e, iter(names))) if names else e
+
+    def arms(self):
+        self.take("{")
+        arms = []
+        while self.maybe("case"):
+            p = self.pattern()
+            guard = self.expr() if self.maybe("by") else None
+            self.take("=>")
+            arms.append((p, guard, self.expr()))
+        self.take("}")
+        return arms
 
     def atom(self):
         if self.kind() in ("num", "str") or self.tok in ("true", "false"):
@@ -293,6 +304,23 @@ class Parser:
         return ("var", n)
 
 
+def count_holes(e) -> int:
+    """Placeholders of an expression that belong to no lambda inside it."""
+    if isinstance(e, list):
+        return sum(map(count_holes, e))
+    if not isinstance(e, tuple) or not e or e[0] in ("lambda", "select", "match", "some", "all"):
+        return 0
+    return 1 if e == ("var", "_") else sum(map(count_holes, e[1:] if isinstance(e[0], str) else e))
+
+
+def fill_holes(e, names):
+    if isinstance(e, list):
+        return [fill_holes(x, names) for x in e]
+    if not isinstance(e, tuple) or not e or e[0] in ("lambda", "select", "match", "some", "all"):
+        return e
+    return ("var", next(names)) if e == ("var", "_") else tuple(fill_holes(x, names) for x in e)
+
+
 def free(e, bound: frozenset = frozenset()) -> set[str]:
     """Free variables of an expression."""
     kind = e[0]
@@ -356,7 +384,7 @@ def _quals(quals, bound: frozenset) -> tuple[set[str], frozenset]:
 
 def pattern_vars(p) -> frozenset:
     kind = p[0]
-    if kind == "var":
+    if kind in ("var", "rest"):
         return frozenset([p[1]])
     if kind == "as":
         return frozenset([p[1]]) | pattern_vars(p[2])

@@ -148,8 +148,11 @@ class Program:
     def execute(self, s, around: list) -> None:
         kind = s[0]
         if kind == "block":
-            for x in s[1]:
-                self.execute(x, around)
+            for group in self.fused(s[1], around):
+                if len(group) > 1:
+                    self.increments(group, around)
+                else:
+                    self.execute(group[0], around)
         elif kind == "var":
             self.declare(s)
         elif kind == "external":
@@ -180,6 +183,36 @@ class Program:
         else:
             self.assign(s, around)
 
+    def fused(self, statements: list, around: list) -> list[list]:
+        """Runs of scalar increments inside a loop that read the same array cells and none of each other's targets."""
+        out: list[list] = []
+        for x in statements:
+            alone = not around or x[0] != "inc" or x[1][0] != "var" or isinstance(self.env.get(x[1][1]), DataFrame)
+            if not alone and out and out[-1][0][0] == "inc" and out[-1][0][1][0] == "var":
+                before = out[-1]
+                seen: list[dict] = [{}, {}]
+                self.reads(before[0][3], seen[0])
+                self.reads(x[3], seen[1])
+                targets = {y[1][1] for y in before}
+                if seen[0].keys() == seen[1].keys() and not targets & (free(x[3]) | {x[1][1]}):
+                    before.append(x)
+                    continue
+            out.append([x])
+        return out
+
+    def increments(self, group: list, around: list) -> None:
+        """Several scalar increments by one aggregate over one scan."""
+        row, values = self.context(around, [x[3] for x in group])
+        out = row.df.agg(*[self.grown(x[1][1], monoids.get(x[2]), v).alias(x[1][1]) for x, v in zip(group, values, strict=True)]).first()
+        self.env |= out.asDict()
+
+    def grown(self, target: str, m: monoids.Monoid, value: Column) -> Column:
+        """A scalar with all iterations' values combined into it, within the aggregate."""
+        old, got = self.env[target], m.agg(value, zero=False)
+        if old is None:
+            return got
+        return F.when(got.isNull(), F.lit(old)).otherwise(m.combine(F.lit(old), got))
+
     def scalar(self, e):
         return Compiler(self.spark, self.env, self.ops).scalar(e)
 
@@ -217,11 +250,7 @@ class Program:
         row, columns = self.context(around, [*indices, e])
         *at, value = columns
         if dest[0] == "var":
-            m = monoids.get(op)
-            got = row.df.agg(m.agg(value, zero=False).alias("v")).first()[0]
-            if got is not None:
-                old = self.env[target]
-                self.env[target] = got if old is None else self.spark.range(1).select(m.combine(F.lit(old), F.lit(got)).alias("v")).first()[0]
+            self.env[target] = row.df.agg(self.grown(target, monoids.get(op), value).alias("v")).first()[0]
             return
         old = self.env[target]
         keys = index_columns(old)

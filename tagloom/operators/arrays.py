@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagloom.functions import monoids
+from tagloom.session import cut
 
 
 def index_columns(df: DataFrame) -> list[str]:
@@ -72,10 +73,15 @@ def covariance(a: DataFrame, rows: int, columns: int) -> DataFrame:
     return cross.select(F.col("j").alias("i"), F.col("k").alias("j"), ((F.col("xy") - F.col("s") * F.col("t") / rows) / (rows - 1)).alias("v"))
 
 
+def errors(r: DataFrame, p: DataFrame, q: DataFrame) -> DataFrame:
+    """R - P x Q on the cells of R; R's cells meet the factors, the whole product is never made."""
+    left = r.join(p.select("i", F.col("j").alias("k"), F.col("v").alias("__a")), "i").join(q.select(F.col("i").alias("k"), "j", F.col("v").alias("__b")), ["k", "j"])
+    return left.groupBy("i", "j").agg((F.first("v") - F.sum(F.col("__a") * F.col("__b"))).alias("v"))
+
+
 def factorize_step(r: DataFrame, p: DataFrame, q: DataFrame, a: float = 0.002, b: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """One gradient step of R ~ P x Q on the cells of R (all matrices sparse)."""
-    guess = multiply(p, q).withColumnRenamed("v", "g")
-    error = r.join(guess, ["i", "j"]).select("i", "j", (F.col("v") - F.col("g")).alias("e"))
+    error = errors(r, p, q).withColumnRenamed("v", "e")
     k = F.col("k")
     pe = error.join(q.select(F.col("i").alias("k"), "j", F.col("v").alias("w")), "j").groupBy("i", k).agg(F.sum(F.col("e") * F.col("w")).alias("d"), F.count(F.lit(1)).alias("n"))
     qe = error.join(p.select("i", F.col("j").alias("k"), F.col("v").alias("w")), "i").groupBy(k, "j").agg(F.sum(F.col("e") * F.col("w")).alias("d"), F.count(F.lit(1)).alias("n"))
@@ -101,7 +107,7 @@ def with_index(df: DataFrame, order: Sequence[str | Column], name: str = "i") ->
     partitions is one count each.
     """
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id())
-    spread = spread.persist()
+    spread = cut(spread)  # a recomputed range partition could differ
     counts = spread.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__k").alias("__first"))
     base = counts.select("__p", "__first", (F.sum("n").over(W.orderBy("__p")) - F.col("n")).alias("__base"))
     return spread.join(F.broadcast(base), "__p").withColumn(name, F.col("__base") + F.col("__k") - F.col("__first")).drop("__p", "__k", "__base", "__first")

@@ -13,6 +13,7 @@ them becomes one ``groupBy`` with several aggregates, not a join.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -236,7 +237,7 @@ class InnerBag:
 
     # ---- values of each tag
     def _agg(self, agg: Column, zero: object, keep: bool) -> InnerScalar:
-        name = f"__{abs(hash(str(agg._jc))):x}"
+        name = f"__{hashlib.sha1(str(agg._jc).encode()).hexdigest()[:16]}"  # the same in every run
         return InnerScalar(self.ctx, source=self.df, aggs={name: (agg, zero, keep)}, expr=F.col(name))
 
     def count(self, empties: str = "keep") -> InnerScalar:

@@ -35,14 +35,8 @@ def loop_equal_and_match(spark: SparkSession, sf: str) -> DataFrame:
     return _one(spark, ok=out["ok"], some=out["hit"])
 
 
-@query("SELECT k, count(*) AS v FROM (SELECT unnest(string_split(text, ' ')) AS k FROM documents WHERE doc_id % 10 = 0) GROUP BY k")
-def loop_word_count(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").where("doc_id % 10 = 0").select(F.explode(F.split("text", " ", -1)).alias("w"))
-    return program(spark, "var C: map[String,Long] = map(); for w in W do C[w] += 1;", W=words)["C"]
-
-
 @query("SELECT k, count(*) AS v FROM (SELECT unnest(string_split(text, ' ')) AS k FROM documents) GROUP BY k")
-def loop_word_count_whole(spark: SparkSession, sf: str) -> DataFrame:
+def loop_word_count(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "documents").select(F.explode(F.split("text", " ", -1)).alias("w"))
     return program(spark, "var C: map[String,Long] = map(); for w in W do C[w] += 1;", W=words)["C"]
 
@@ -59,78 +53,22 @@ def loop_group_by(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem")
 def loop_linear_regression(spark: SparkSession, sf: str) -> DataFrame:
-    text = """var n: Long = 0; var sx: Double = 0.0; var sy: Double = 0.0;
-        for (x,y) in P do { sx += x; sy += y; n += 1; };
-        var xb: Double = sx / n; var yb: Double = sy / n; var xx: Double = 0.0; var xy: Double = 0.0;
-        for (x,y) in P do { xx += (x-xb)*(x-xb); xy += (x-xb)*(y-yb); };
-        var slope: Double = xy / xx; var intercept: Double = yb - slope*xb;"""
+    """The normal equations: five sums of one loop, one scan."""
+    text = """var n: Long = 0; var a: Double = 0.0; var b: Double = 0.0; var aa: Double = 0.0; var ab: Double = 0.0;
+        for (q, price) in P do { n += 1; a += q; b += price; aa += q*q; ab += q*price; };
+        var slope: Double = (n*ab - a*b) / (n*aa - a*a); var intercept: Double = (b - slope*a) / n;"""
     out = program(spark, text, P=table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice"))
     return _one(spark, slope=round(out["slope"], 6), intercept=round(out["intercept"], 3))
 
 
-def _matrix(spark: SparkSession, sf: str, extra: int = 0) -> DataFrame:
-    x = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("i"), ((F.col("l_partkey") + extra) % 20).alias("j"), "l_quantity").where("(i + j) % 3 = 0")
-    return cut(x.groupBy("i", "j").agg(F.sum("l_quantity").alias("v")))
-
-
-def _cells(extra: int = 0) -> str:
-    return f"(SELECT l_suppkey % 20 AS i, (l_partkey + {extra}) % 20 AS j, sum(l_quantity) AS v FROM lineitem WHERE (l_suppkey % 20 + (l_partkey + {extra}) % 20) % 3 = 0 GROUP BY ALL)"
-
-
-@query(f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {_cells()} a JOIN {_cells(1)} b ON a.j = b.i GROUP BY ALL UNION ALL SELECT x.i, y.j, 0.0 FROM range(20) x(i), range(20) y(j) WHERE NOT EXISTS (SELECT 1 FROM {_cells()} a JOIN {_cells(1)} b ON a.j = b.i WHERE a.i = x.i AND b.j = y.j)")
-def loop_matrix_multiply(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells that no product reaches stay explicit zeros."""
-    text = "var R: matrix[Double] = matrix(); for i = 0, 19 do for j = 0, 19 do { R[i,j] := 0.0; for k = 0, 19 do R[i,j] += M[i,k]*N[k,j]; };"
-    return program(spark, text, M=_matrix(spark, sf), N=_matrix(spark, sf, 1))["R"]
-
-
-@query(f"SELECT i, j, a.v + b.v AS v FROM {_cells()} a JOIN {_cells()} b USING (i, j) WHERE i < 10 AND j < 10")
-def loop_matrix_add(spark: SparkSession, sf: str) -> DataFrame:
-    m = _matrix(spark, sf)
-    return program(spark, "var R: matrix[Double] = matrix(); for i = 0, 9 do for j = 0, 9 do R[i,j] := M[i,j]+N[i,j];", M=m, N=m)["R"]
-
-
-@query(f"SELECT sum(v) AS s FROM {_cells()} WHERE i % 2 = 0 AND j = i + 1 AND i <= 18")
-def loop_affine_index(spark: SparkSession, sf: str) -> DataFrame:
-    """A stride and a shifted index: the range turns into conditions on the scan."""
-    out = program(spark, "var s: Double = 0.0; for i = 0, 18, 2 do s += M[i,i+1];", M=_matrix(spark, sf))
-    return _one(spark, s=out["s"])
-
-
 @query("WITH RECURSIVE t(n, x) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT n + 1, x * 1.5 FROM t WHERE n < 6) SELECT max(x) AS x FROM t")
 def loop_while(spark: SparkSession, sf: str) -> DataFrame:
     out = program(spark, "var n: Int = 0; var x: Double = 1.0; while (n < 6) { n := n + 1; x := x * 1.5; };")
     return _one(spark, x=out["x"])
 
 
-@query(f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {_cells()} a JOIN {_cells(1)} b ON a.j = b.i GROUP BY ALL")
-def array_multiply(spark: SparkSession, sf: str) -> DataFrame:
-    return arrays.multiply(_matrix(spark, sf), _matrix(spark, sf, 1))
-
-
-@query(f"SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(a.v, 0) + coalesce(b.v, 0) AS v FROM {_cells()} a FULL JOIN {_cells(1)} b ON a.i = b.i AND a.j = b.j")
-def array_increment(spark: SparkSession, sf: str) -> DataFrame:
-    return arrays.increment(_matrix(spark, sf), _matrix(spark, sf, 1))
-
-
-@query(f"SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(b.v, a.v) AS v FROM {_cells()} a FULL JOIN (SELECT i, j, -v AS v FROM {_cells(1)} WHERE i < 5) b ON a.i = b.i AND a.j = b.j")
-def array_update(spark: SparkSession, sf: str) -> DataFrame:
-    return arrays.update(_matrix(spark, sf), _matrix(spark, sf, 1).where("i < 5").withColumn("v", -F.col("v")))
-
-
-_DENSE = "(SELECT vec_id AS i, unnest(generate_series(0, 7)) AS j, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings)"
-
-
-@query(f"SELECT a.j AS i, b.j AS j, round(covar_samp(a.v, b.v), 8) AS v FROM {_DENSE} a JOIN {_DENSE} b ON a.i = b.i GROUP BY ALL")
-def pca_covariance(spark: SparkSession, sf: str) -> DataFrame:
-    x = table(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode(F.slice("embedding", 1, 8)).alias("j", "v")).withColumn("v", F.col("v").cast("double"))
-    x = cut(x.withColumn("j", F.col("j").cast("long")))
-    rows = x.select("i").distinct().count()
-    return arrays.covariance(x, rows, 8).withColumn("v", F.round("v", 8))
-
-
 @query("WITH d AS (SELECT vec_id AS i, unnest(generate_series(0, len(embedding) - 1)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT a.j AS i, b.j AS j, round(covar_samp(a.v, b.v), 8) AS v FROM d a JOIN d b ON a.i = b.i GROUP BY ALL")
-def pca_covariance_whole(spark: SparkSession, sf: str) -> DataFrame:
+def pca_covariance(spark: SparkSession, sf: str) -> DataFrame:
     """Over all dimensions of the embeddings."""
     x = table(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).withColumn("v", F.col("v").cast("double"))
     x = cut(x.withColumn("j", F.col("j").cast("long")))
@@ -138,71 +76,78 @@ def pca_covariance_whole(spark: SparkSession, sf: str) -> DataFrame:
     return arrays.covariance(x, rows, dims).withColumn("v", F.round("v", 8))
 
 
-# ---------------------------------------------------------------- the same over all cells of supplier x part
+# ---------------------------------------------------------------- matrices of all cells of supplier x part
 
 
-def _whole_matrix(spark: SparkSession, sf: str, extra: int = 0) -> DataFrame:
+def _matrix(spark: SparkSession, sf: str, extra: int = 0) -> DataFrame:
     x = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") + extra).alias("j"), "l_quantity")
     return cut(x.groupBy("i", "j").agg(F.sum("l_quantity").alias("v")))
 
 
-def _whole_cells(extra: int = 0) -> str:
+def _cells(extra: int = 0) -> str:
     return f"(SELECT l_suppkey AS i, l_partkey + {extra} AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
 
 
-@query(f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {_whole_cells()} a JOIN {_whole_cells(1)} b ON a.j = b.i GROUP BY ALL")
-def loop_matrix_multiply_whole(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {_cells()} a JOIN {_cells(1)} b ON a.j = b.i GROUP BY ALL")
+def loop_matrix_multiply(spark: SparkSession, sf: str) -> DataFrame:
     """Cells that no product reaches stay absent: explicit zeros would be suppliers x parts many."""
-    m, n = _whole_matrix(spark, sf), _whole_matrix(spark, sf, 1)
+    m, n = _matrix(spark, sf), _matrix(spark, sf, 1)
     i, k, j = m.agg(F.max("i"), F.max("j")).first() + n.agg(F.max("j")).first()
-    text = "var R: matrix[Double] = matrix(); for i = 0, ni do for j = 0, nj do for k = 0, nk do R[i,j] += M[i,k]*N[k,j];"
-    return program(spark, text, M=m, N=n, ni=i, nj=j, nk=k)["R"]
+    text = "var Z: matrix[Double] = matrix(); for part = 0, parts do for row = 0, rows do for col = 0, cols do Z[row,col] += N[part,col] * M[row,part];"
+    return program(spark, text, M=m, N=n, rows=i, cols=j, parts=k)["Z"]
 
 
-@query(f"SELECT i, j, a.v + b.v AS v FROM {_whole_cells()} a JOIN {_whole_cells()} b USING (i, j)")
-def loop_matrix_add_whole(spark: SparkSession, sf: str) -> DataFrame:
-    m = _whole_matrix(spark, sf)
+@query(f"SELECT i, j, a.v + b.v AS v FROM {_cells()} a JOIN {_cells()} b USING (i, j)")
+def loop_matrix_add(spark: SparkSession, sf: str) -> DataFrame:
+    m = _matrix(spark, sf)
     i, j = m.agg(F.max("i"), F.max("j")).first()
     return program(spark, "var R: matrix[Double] = matrix(); for i = 0, ni do for j = 0, nj do R[i,j] := M[i,j]+N[i,j];", M=m, N=m, ni=i, nj=j)["R"]
 
 
-@query(f"SELECT sum(v) AS s FROM {_whole_cells()} WHERE i % 2 = 0 AND j = i + 1")
-def loop_affine_index_whole(spark: SparkSession, sf: str) -> DataFrame:
-    m = _whole_matrix(spark, sf)
+@query(f"SELECT sum(v) AS s FROM {_cells()} WHERE i % 2 = 0 AND j = i + 1")
+def loop_affine_index(spark: SparkSession, sf: str) -> DataFrame:
+    m = _matrix(spark, sf)
     out = program(spark, "var s: Double = 0.0; for i = 0, ni, 2 do s += M[i,i+1];", M=m, ni=m.agg(F.max("i")).first()[0])
     return _one(spark, s=out["s"])
 
 
-@query(f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {_whole_cells()} a JOIN {_whole_cells(1)} b ON a.j = b.i GROUP BY ALL")
-def array_multiply_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return arrays.multiply(_whole_matrix(spark, sf), _whole_matrix(spark, sf, 1))
-
-
-@query(f"SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(a.v, 0) + coalesce(b.v, 0) AS v FROM {_whole_cells()} a FULL JOIN {_whole_cells(1)} b ON a.i = b.i AND a.j = b.j")
-def array_increment_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return arrays.increment(_whole_matrix(spark, sf), _whole_matrix(spark, sf, 1))
+@query(f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {_cells()} a JOIN {_cells(1)} b ON a.j = b.i GROUP BY ALL")
+def array_multiply(spark: SparkSession, sf: str) -> DataFrame:
+    return arrays.multiply(_matrix(spark, sf), _matrix(spark, sf, 1))
 
 
-@query(f"SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(b.v, a.v) AS v FROM {_whole_cells()} a FULL JOIN (SELECT i, j, -v AS v FROM {_whole_cells(1)}) b ON a.i = b.i AND a.j = b.j")
-def array_update_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return arrays.update(_whole_matrix(spark, sf), _whole_matrix(spark, sf, 1).withColumn("v", -F.col("v")))
+@query(f"SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(a.v, 0) + coalesce(b.v, 0) AS v FROM {_cells()} a FULL JOIN {_cells(1)} b ON a.i = b.i AND a.j = b.j")
+def array_increment(spark: SparkSession, sf: str) -> DataFrame:
+    return arrays.increment(_matrix(spark, sf), _matrix(spark, sf, 1))
 
 
-@query()
+@query(f"SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(b.v, a.v) AS v FROM {_cells()} a FULL JOIN (SELECT i, j, -v AS v FROM {_cells(1)}) b ON a.i = b.i AND a.j = b.j")
+def array_update(spark: SparkSession, sf: str) -> DataFrame:
+    return arrays.update(_matrix(spark, sf), _matrix(spark, sf, 1).withColumn("v", -F.col("v")))
+
+
+@query(
+    f"""WITH r AS (SELECT i, j, v / 50 AS v FROM {_cells()}), f AS (SELECT unnest([0, 1]) AS f),
+    p AS (SELECT i, f, 0.3 + (i + f) % 5 / 10 AS p FROM (SELECT DISTINCT i FROM r), f), q AS (SELECT j, f, 0.3 + (j + f) % 5 / 10 AS q FROM (SELECT DISTINCT j FROM r), f),
+    e AS (SELECT r.i, r.j, any_value(v) - sum(p * q) AS e FROM r JOIN p ON p.i = r.i JOIN q ON q.j = r.j AND q.f = p.f GROUP BY r.i, r.j),
+    p1 AS (SELECT p.i, p.f, any_value(p) + 0.002 * (2 * sum(e * q) - 0.02 * count(*) * any_value(p)) AS p FROM p JOIN e ON e.i = p.i JOIN q ON q.j = e.j AND q.f = p.f GROUP BY p.i, p.f),
+    q1 AS (SELECT q.j, q.f, any_value(q) + 0.002 * (2 * sum(e * p) - 0.02 * count(*) * any_value(q)) AS q FROM q JOIN e ON e.j = q.j JOIN p ON p.i = e.i AND p.f = q.f GROUP BY q.j, q.f),
+    e1 AS (SELECT r.i, r.j, any_value(v) - sum(p * q) AS e FROM r JOIN p1 ON p1.i = r.i JOIN q1 ON q1.j = r.j AND q1.f = p1.f GROUP BY r.i, r.j)
+    SELECT 0 AS step, round(sum(e * e), 4) AS error FROM e UNION ALL SELECT 1, round(sum(e * e), 4) FROM e1"""
+)
 def matrix_factorization(spark: SparkSession, sf: str) -> DataFrame:
-    """Squared error of R ~ P x Q before and after each of three gradient steps: it falls."""
-    r = cut(_matrix(spark, sf).withColumn("v", F.col("v") / 1000))
-    p = cut(spark.range(20).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("j")).withColumn("v", F.lit(0.3) + (F.col("i") + F.col("j")) % 5 / 10))
-    q = cut(arrays.transpose(p))
-    out = []
-    for step in range(4):
-        error = r.join(arrays.multiply(p, q).withColumnRenamed("v", "g"), ["i", "j"]).agg(F.sum((F.col("v") - F.col("g")) * (F.col("v") - F.col("g"))).alias("error"))
-        out.append(error.select(F.lit(step).alias("step"), F.round("error", 6).alias("error")))
-        p, q = (cut(x) for x in arrays.factorize_step(r, p, q))
-    done = out[0]
-    for x in out[1:]:
-        done = done.union(x)
-    return done
+    """Squared error of R ~ P x Q, over the known cells of suppliers by parts, before and after a gradient step."""
+    r = cut(_matrix(spark, sf).withColumn("v", F.col("v") / 50))
+    f = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))
+    p = cut(r.select("i").distinct().select("i", f.alias("j")).withColumn("v", F.lit(0.3) + (F.col("i") + F.col("j")) % 5 / 10))
+    q = cut(r.select("j").distinct().select(f.alias("i"), "j").withColumn("v", F.lit(0.3) + (F.col("i") + F.col("j")) % 5 / 10))
+    errors = []
+    for step in range(2):
+        e = arrays.errors(r, p, q)
+        errors.append(e.agg(F.lit(step).alias("step"), F.round(F.sum(F.col("v") * F.col("v")), 4).alias("error")))
+        if step < 1:
+            p, q = (cut(x) for x in arrays.factorize_step(r, p, q))
+    return errors[0].union(errors[1])
 
 
 @query("""SELECT link AS k, string_agg(page_id::VARCHAR, ',' ORDER BY page_id) AS v FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1)) AS link FROM pages) GROUP BY link""")
