@@ -14,6 +14,8 @@ path; a null url matches no term; repeated rows are judged one by one.
 
 from __future__ import annotations
 
+import functools
+
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,7 @@ _ASCII = str.maketrans(_UPPER, _LOWER)
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
+@functools.lru_cache(maxsize=8)  # a worker builds it once, not for each batch
 def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for kind, terms in (("soft", soft), ("strict", strict)):
