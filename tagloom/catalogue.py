@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from tagloom.registry import ORACLES, QUERIES
-from tagloom.tasks import comprehensions, extras, lifted, programs, workloads
+from tagloom.tasks import comprehensions, extras, files, lifted, programs, workloads
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
 
-MODULES = (lifted, workloads, comprehensions, programs, extras)
+MODULES = (lifted, workloads, comprehensions, programs, extras, files)

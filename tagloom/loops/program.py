@@ -29,6 +29,7 @@ from tagloom.operators.arrays import index_columns, merge
 from tagloom.session import cut
 
 _fresh = itertools.count()
+_EXTENTS = {"length": "i", "rows": "i", "cols": "j"}
 _ZEROS = {"Int": 0, "Long": 0, "Double": 0.0, "Boolean": False, "String": ""}
 _SQL = {"Int": "int", "Long": "bigint", "Double": "double", "Boolean": "boolean", "String": "string"}
 
@@ -91,7 +92,11 @@ class LoopParser(Parser):
             else:
                 self.i = at
             return ("if", c, then, other)
+        at = self.i
         dest = self.postfix(self.atom())
+        if self.tok not in (":=", "+=", "*=", "&&=", "||="):  # no destination: an expression by itself
+            self.i = at
+            return ("expr", self.expr())
         op = self.take(":=", "+=", "*=", "&&=", "||=")
         e = self.expr()
         if op != ":=":
@@ -107,7 +112,7 @@ class LoopParser(Parser):
     extra: tuple = ()
 
     def function(self):
-        """``def f(a: T, ...): T return e`` (the body may be a block of nothing but that)."""
+        """``def f(a: T, ...): T return e``; the body may be a block that declares variables first."""
         self.take("def")
         n = self.name()
         self.take("(")
@@ -115,9 +120,18 @@ class LoopParser(Parser):
         self.take(")")
         self.take(":")
         self.type()
-        block = self.maybe("{")
+        block, local = self.maybe("{"), []
+        while block and self.maybe("var"):
+            x = self.name()
+            self.take(":")
+            self.type()
+            self.take("=")
+            local.append((("var", x), self.expr()))
+            self.take(";")
         self.take("return")
         e = self.expr()
+        if local:
+            e = ("let", local, e)
         if block:
             self.maybe(";")
             self.take("}")
@@ -138,6 +152,7 @@ class Program:
     def __init__(self, spark: SparkSession, env: dict[str, object], ops=None):
         self.spark, self.env, self.ops = spark, dict(env), ops or {}
         self.kinds: dict[str, tuple] = {}
+        self.extents: dict[tuple[str, str], tuple[DataFrame, int]] = {}
 
     def run(self, statements: list) -> dict[str, object]:
         for s in statements:
@@ -180,6 +195,10 @@ class Program:
                 raise SyntaxError("while inside for")
             while self.scalar(s[1]):
                 self.execute(s[2], [])
+        elif kind == "expr":
+            if around:
+                raise SyntaxError("an expression's value would be lost inside a loop or condition")
+            Compiler(self.spark, self.env, self.ops).value(self.sized(s[1], self.env))
         else:
             self.assign(s, around)
 
@@ -214,7 +233,23 @@ class Program:
         return F.when(got.isNull(), F.lit(old)).otherwise(m.combine(F.lit(old), got))
 
     def scalar(self, e):
-        return Compiler(self.spark, self.env, self.ops).scalar(e)
+        return Compiler(self.spark, self.env, self.ops).scalar(self.sized(e, self.env))
+
+    def sized(self, e, env: dict[str, object]):
+        """``V.length``, ``M.rows`` and ``M.cols`` as numbers: one more than the largest index."""
+        if isinstance(e, list):
+            return [self.sized(x, env) for x in e]
+        if not isinstance(e, tuple) or not e:
+            return e
+        if e[0] == "field" and e[1][0] == "var" and e[2] in _EXTENTS:
+            array, index = env.get(e[1][1]), _EXTENTS[e[2]]
+            if isinstance(array, DataFrame) and index in array.columns and "v" in array.columns:
+                df, n = self.extents.get((e[1][1], index), (None, 0))
+                if df is not array:
+                    n = array.agg(F.coalesce(F.max(index) + 1, F.lit(0))).first()[0]
+                    self.extents[e[1][1], index] = (array, n)
+                return ("lit", n)
+        return tuple(self.sized(x, env) for x in e)
 
     def declare(self, s) -> None:
         _, n, (kind, args), init = s
@@ -272,6 +307,8 @@ class Program:
         row = Row(self.spark.range(1).select(F.lit(0).alias("__unit")), {})
         ranges, conds, before = {}, [], self.env
         compiler = Compiler(self.spark, self.env, self.ops)
+        around = [("cond", self.sized(a[1], a[2]), a[2]) if a[0] == "cond" else ("loop", a[1], self.sized(a[2], self.env)) for a in around]
+        exprs = [self.sized(x, self.env) for x in exprs]
         for a in around:
             if a[0] == "cond":
                 conds += conjuncts(a[1])

@@ -65,6 +65,28 @@ def component_graph(spark: SparkSession, components: int, vertices: int, extra:
     return one.union(one.select("cid", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+def zipf_components(spark: SparkSession, components: int, vertices: int, extra: int, exponent: float, seed: int = 123, chunk: int = 10_000) -> DataFrame:
+    """``cid, src, dst`` in both directions: connected components whose sizes (at least 2) follow Zipf's law.
+
+    ``extra`` random edges are dealt to the components in proportion to their sizes.  Long paths are
+    made in chunks, so the largest component isn't one task's.
+    """
+    weight = F.pow(F.col("cid") + 1, F.lit(-exponent))
+    total = spark.range(components).withColumnRenamed("id", "cid").agg(F.sum(weight)).first()[0]
+    size = F.greatest(F.lit(2), F.floor(F.lit(vertices) * weight / total))
+    stride = max(2, int(vertices / total))  # the first component's size: ids of components are apart
+    sizes = spark.range(components).withColumnRenamed("id", "cid").withColumn("n", size)
+    at = lambda a: F.col("cid") * stride + a
+    chunks = sizes.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / chunk)))).repartition("cid", "c")
+    path = chunks.select("cid", F.explode(F.sequence(F.col("c") * chunk, F.least(F.col("n") - 2, F.col("c") * chunk + chunk - 1))).alias("a")).select("cid", at(F.col("a")).alias("src"), at(F.col("a") + 1).alias("dst"))
+    unit = lambda k: uniform(seed, k, 1 << 53).cast("double") / float(1 << 53)
+    here = F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.ceil(F.lit(extra) * F.col("n") / vertices / (F.floor((F.col("n") - 2) / chunk) + 1)))))
+    rand = chunks.select("cid", "n", "c", here.alias("e")).withColumn("id", F.xxhash64("cid", "c", "e"))
+    rand = rand.select("cid", at(F.floor(unit(1) * F.col("n"))).alias("src"), at(F.floor(unit(2) * F.col("n"))).alias("dst"))
+    one = path.union(rand).where("src <> dst")
+    return one.union(one.select("cid", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
 def points(spark: SparkSession, n: int, dims: int = 2, seed: int = 123) -> DataFrame:
     """``id, point``: uniform in the unit cube."""
     unit = [uniform(seed, i, 1 << 53).cast("double") / float(1 << 53) for i in range(dims)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.lineage import Traced
 from tagloom.registry import query, table
-from tagloom.session import shared_folder
+from tagloom.session import cut, shared_folder
 from tagloom.sources import generators
 from tagloom.streaming.incremental import incremental, latest, windowed
 
@@ -22,11 +22,13 @@ def lineage_group_sum(spark: SparkSession, sf: str) -> DataFrame:
     return sums.inputs().select("o_custkey", F.get_json_object("row", "$.o_orderkey").cast("long").alias("o_orderkey"), "total")
 
 
-@query("SELECT n_name, r_name, 2 AS inputs FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("WITH j AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT n_name, r_name, 'nation' AS source, n_nationkey AS id FROM j UNION ALL SELECT n_name, r_name, 'region', r_regionkey FROM j")
 def lineage_join(spark: SparkSession, sf: str) -> DataFrame:
-    n = Traced.source(table(spark, sf, "nation").select("n_name", F.col("n_regionkey").alias("k")), "nation")
-    r = Traced.source(table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), "r_name"), "region")
-    return n.join(r, ["k"]).df.select("n_name", "r_name", F.size("_lineage").alias("inputs"))
+    """Each joined row with the two rows that it was made of."""
+    n = Traced.source(table(spark, sf, "nation").select("n_name", F.col("n_regionkey").alias("k"), F.col("n_nationkey").alias("id")), "nation", ["id"])
+    r = Traced.source(table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), "r_name", F.col("r_regionkey").alias("id")), "region", ["id"])
+    both = n.select("n_name", "k").join(r.select("r_name", "k"), ["k"])
+    return both.inputs().select("n_name", "r_name", "source", F.get_json_object("row", "$.id").cast("int").alias("id"))
 
 
 @query("SELECT n_nationkey, 100.0 / nullif(n_regionkey, 0) AS x, CASE WHEN n_regionkey = 0 THEN 'division by zero' END AS error FROM nation")
@@ -49,6 +51,28 @@ def source_component_graph(spark: SparkSession, sf: str) -> DataFrame:
     return g.groupBy("cid").agg(F.lit(1).alias("components"), F.count_distinct("src").cast("int").alias("vertices"))
 
 
+@query("SELECT c AS cid, greatest(2, floor(400 * (c + 1)::DOUBLE ** -1.2 / sum((c + 1)::DOUBLE ** -1.2) OVER ()))::BIGINT AS vertices FROM range(12) t(c)")
+def source_zipf_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of the components of a generated graph, found by spreading the smallest id along the edges."""
+    g = cut(generators.zipf_components(spark, 12, 400, 200, 1.2))
+    found = spread_least(g.select("src", "dst"))
+    return g.select("cid", F.col("src").alias("v")).distinct().join(found, "v").groupBy("cid", "least").agg(F.count(F.lit(1)).alias("vertices")).select("cid", "vertices")
+
+
+def spread_least(edges: DataFrame) -> DataFrame:
+    """``v, least``: the smallest vertex that each can reach, edges being there in both directions."""
+    state = cut(edges.select(F.col("src").alias("v")).distinct().withColumn("least", F.col("v")))
+    while True:
+        near = edges.join(state.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("least").alias("near"))
+        # a vertex takes its neighbours' least, then what that vertex has
+        new = state.join(near, "v", "left").select("v", F.least("least", F.coalesce("near", "least")).alias("least"))
+        jump = state.select(F.col("v").alias("least"), F.col("least").alias("far"))
+        new = cut(new.join(jump, "least").select("v", F.least("least", "far").alias("least")))
+        if new.join(state, ["v", "least"], "left_anti").isEmpty():
+            return new
+        state = new
+
+
 @query()
 def source_zipf_visits(spark: SparkSession, sf: str) -> DataFrame:
     return generators.visits(spark, 20_000, 16, 1.1).groupBy("grp").count()

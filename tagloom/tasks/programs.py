@@ -76,6 +76,41 @@ def pca_covariance(spark: SparkSession, sf: str) -> DataFrame:
     return arrays.covariance(x, rows, dims).withColumn("v", F.round("v", 8))
 
 
+@query("WITH d AS (SELECT vec_id AS i, unnest(generate_series(0, len(embedding) - 1)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT a.j AS i, b.j AS j, round(covar_samp(a.v, b.v), 8) AS v FROM d a JOIN d b ON a.i = b.i GROUP BY ALL")
+def loop_pca_covariance(spark: SparkSession, sf: str) -> DataFrame:
+    """The covariance matrix as a loop program: sums of columns, then products of what each cell is off its mean."""
+    x = table(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v"))
+    x = cut(x.select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v")))
+    text = """external n: Long; var S: vector[Double] = vector(); var C: matrix[Double] = matrix();
+        for r = 0, X.rows-1 do for a = 0, X.cols-1 do S[a] += X[r,a];
+        for r = 0, X.rows-1 do for a = 0, X.cols-1 do for b = 0, X.cols-1 do C[a,b] += (X[r,a] - S[a]/n) * (X[r,b] - S[b]/n) / (n-1);"""
+    return program(spark, text, X=x, n=x.agg(F.countDistinct("i")).first()[0])["C"].withColumn("v", F.round("v", 8))
+
+
+_RANKS = ", ".join(f"p{s} AS (SELECT v.i, 0.15::DOUBLE / any_value(n) + 0.85::DOUBLE * coalesce(sum(p.v / c.c), 0) AS v FROM v LEFT JOIN e ON e.j = v.i LEFT JOIN p{s - 1} p ON p.i = e.i LEFT JOIN c ON c.i = e.i GROUP BY v.i)" for s in (1, 2, 3))
+
+
+@query(
+    f"""WITH e AS (SELECT DISTINCT l_suppkey AS i, l_partkey AS j FROM lineitem), m AS (SELECT greatest(max(i), max(j)) + 1 AS n FROM e),
+    v AS (SELECT unnest(generate_series(0, n - 1)) AS i, n FROM m), c AS (SELECT i, count(*) AS c FROM e GROUP BY i), p0 AS (SELECT i, 1.0::DOUBLE / n AS v FROM v), {_RANKS}
+    SELECT i, round(v, 10) AS v FROM p3"""
+)
+def loop_pagerank(spark: SparkSession, sf: str) -> DataFrame:
+    """Three rounds over the graph whose edges lead from each supplier's number to its parts' numbers."""
+    e = cut(table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("long").alias("i"), F.col("l_partkey").cast("long").alias("j")).distinct().withColumn("v", F.lit(1.0)))
+    text = """var n: Long = E.rows; if (E.cols > n) n := E.cols;
+        var D: vector[Double] = vector(); for a = 0, n-1 do for b = 0, n-1 do D[a] += E[a,b];
+        var P: vector[Double] = vector(); for a = 0, n-1 do P[a] := 1.0 / n;
+        var rounds: Int = 0;
+        while (rounds < 3) {
+            var Q: vector[Double] = vector();
+            for b = 0, n-1 do Q[b] := 0.15 / n;
+            for a = 0, n-1 do for b = 0, n-1 do Q[b] += 0.85 * P[a] * E[a,b] / D[a];
+            P := Q; rounds += 1;
+        };"""
+    return program(spark, text, E=e)["P"].withColumn("v", F.round("v", 10))
+
+
 # ---------------------------------------------------------------- matrices of all cells of supplier x part
 
 
@@ -126,15 +161,16 @@ def array_update(spark: SparkSession, sf: str) -> DataFrame:
     return arrays.update(_matrix(spark, sf), _matrix(spark, sf, 1).withColumn("v", -F.col("v")))
 
 
-@query(
-    f"""WITH r AS (SELECT i, j, v / 50 AS v FROM {_cells()}), f AS (SELECT unnest([0, 1]) AS f),
+_FACTORIZATION = f"""WITH r AS (SELECT i, j, v / 50 AS v FROM {_cells()}), f AS (SELECT unnest([0, 1]) AS f),
     p AS (SELECT i, f, 0.3 + (i + f) % 5 / 10 AS p FROM (SELECT DISTINCT i FROM r), f), q AS (SELECT j, f, 0.3 + (j + f) % 5 / 10 AS q FROM (SELECT DISTINCT j FROM r), f),
     e AS (SELECT r.i, r.j, any_value(v) - sum(p * q) AS e FROM r JOIN p ON p.i = r.i JOIN q ON q.j = r.j AND q.f = p.f GROUP BY r.i, r.j),
     p1 AS (SELECT p.i, p.f, any_value(p) + 0.002 * (2 * sum(e * q) - 0.02 * count(*) * any_value(p)) AS p FROM p JOIN e ON e.i = p.i JOIN q ON q.j = e.j AND q.f = p.f GROUP BY p.i, p.f),
     q1 AS (SELECT q.j, q.f, any_value(q) + 0.002 * (2 * sum(e * p) - 0.02 * count(*) * any_value(q)) AS q FROM q JOIN e ON e.j = q.j JOIN p ON p.i = e.i AND p.f = q.f GROUP BY q.j, q.f),
     e1 AS (SELECT r.i, r.j, any_value(v) - sum(p * q) AS e FROM r JOIN p1 ON p1.i = r.i JOIN q1 ON q1.j = r.j AND q1.f = p1.f GROUP BY r.i, r.j)
     SELECT 0 AS step, round(sum(e * e), 4) AS error FROM e UNION ALL SELECT 1, round(sum(e * e), 4) FROM e1"""
-)
+
+
+@query(_FACTORIZATION)
 def matrix_factorization(spark: SparkSession, sf: str) -> DataFrame:
     """Squared error of R ~ P x Q, over the known cells of suppliers by parts, before and after a gradient step."""
     r = cut(_matrix(spark, sf).withColumn("v", F.col("v") / 50))
@@ -150,6 +186,26 @@ def matrix_factorization(spark: SparkSession, sf: str) -> DataFrame:
     return errors[0].union(errors[1])
 
 
+@query(_FACTORIZATION)
+def loop_factorization(spark: SparkSession, sf: str) -> DataFrame:
+    """The same step as a loop program; a condition on a known cell keeps the product to these."""
+    r = cut(_matrix(spark, sf).withColumn("v", F.col("v") / 50))
+    f = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))
+    p = cut(r.select("i").distinct().select("i", f.alias("j")).withColumn("v", F.lit(0.3) + (F.col("i") + F.col("j")) % 5 / 10))
+    q = cut(r.select("j").distinct().select(f.alias("i"), "j").withColumn("v", F.lit(0.3) + (F.col("i") + F.col("j")) % 5 / 10))
+    cells = "for i = 0, R.rows-1 do for j = 0, R.cols-1 do"
+    off = f"""var W: matrix[Double] = matrix(); var E: matrix[Double] = matrix();
+        {cells} for f = 0, 1 do if (R[i,j] > 0.0) W[i,j] += P[i,f] * Q[f,j];
+        {cells} E[i,j] := R[i,j] - W[i,j];"""
+    text = f"""{off} var before: Double = 0.0; {cells} before += E[i,j] * E[i,j];
+        var U: matrix[Double] = P; var V: matrix[Double] = Q;
+        {cells} for f = 0, 1 do U[i,f] += 0.002 * (2.0 * E[i,j] * Q[f,j] - 0.02 * P[i,f]);
+        {cells} for f = 0, 1 do V[f,j] += 0.002 * (2.0 * E[i,j] * P[i,f] - 0.02 * Q[f,j]);
+        P := U; Q := V; {off} var after: Double = 0.0; {cells} after += E[i,j] * E[i,j];"""
+    out = program(spark, text, R=r, P=p, Q=q)
+    return _one(spark, step=0, error=round(out["before"], 4)).union(_one(spark, step=1, error=round(out["after"], 4)))
+
+
 @query("""SELECT link AS k, string_agg(page_id::VARCHAR, ',' ORDER BY page_id) AS v FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1)) AS link FROM pages) GROUP BY link""")
 def reverse_index(spark: SparkSession, sf: str) -> DataFrame:
     found = table(spark, sf, "pages").select("page_id", F.explode(links(F.col("html"))).alias("k"))

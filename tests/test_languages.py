@@ -157,3 +157,18 @@ def test_macros_and_several_queries(spark, env):
 def test_user_functions(spark, env):
     got = query(spark, "select half(h) from (s,3,h,_) <- St", half=lambda x: x / 2, **env)
     assert [r[0] for r in got.collect()] == [492.0]
+
+
+def test_sizes_expressions_and_functions(spark, capsys):
+    m = spark.createDataFrame([(0, 4, 1.0), (2, 1, 3.0)], "i long, j long, v double")
+    v = spark.createDataFrame([(5, 1.0)], "i long, v double")
+    text = """def area(x: Double): Double { var y: Double = x * x; var z: Double = y + x; return z };
+        var n: Long = V.length; var cells: Long = M.rows * M.cols; var s: Double = 0.0;
+        for i = 0, M.rows - 1 do for j = 0, M.cols - 1 do s += area(M[i,j]);
+        var none: matrix[Double] = matrix(); var empty: Long = none.rows;
+        var W: vector[Double] = vector(); for i = 0, n - 1 do W[i] := 1.0; n := W.length; trace(M);"""
+    out = program(spark, text, M=m, V=v)
+    assert (out["n"], out["cells"], out["s"], out["empty"]) == (6, 15, 14.0, 0)
+    assert "3.0" in capsys.readouterr().out
+    with pytest.raises(SyntaxError):
+        program(spark, "var s: Double = 0.0; for i = 0, 3 do s + 1.0;")
