@@ -30,21 +30,30 @@ def repeat(state: State, step: Callable[[State], State], until: Callable[[State]
             return state
 
 
+def _tally(flag: DataFrame) -> tuple[int, int]:
+    """How many tags there are and how many of them go on."""
+    return tuple(flag.agg(F.count(F.lit(1)), F.count(F.when(F.col("__go"), 1))).first())
+
+
 def lifted_do_while(ctx: Context, state: dict[str, InnerBag | InnerScalar], body: Callable[[Context, dict], tuple[dict, InnerScalar]], limit: int = 10_000) -> dict[str, InnerBag | InnerScalar]:
     """Iterates all tags at once until each tag's condition is false.
 
     ``body(active, state)`` returns the next state and a condition for each
     active tag; tags whose condition is false are finished.  Each round cuts the
     plan once for each part of the state that the body hasn't cut itself, and runs
-    one small action; rows are parted only in rounds in which a tag finishes.
+    one small action; rows are parted, by a condition that is cut then, only in
+    rounds in which some tags finish and others don't.
     """
     active = Context(cut(ctx.tags), ctx.names)
     kinds = {n: type(v) for n, v in state.items()}
     finished: dict[str, list[DataFrame]] = {n: [] for n in state}
     for _ in range(limit):
         out, go_on = body(active, state)
-        flag = cut(go_on.df.withColumnRenamed("value", "__go"))
-        seen, left = flag.agg(F.count("*"), F.count(F.when(F.col("__go"), 1))).first()
+        flag = go_on.df.withColumnRenamed("value", "__go")
+        seen, left = _tally(flag)
+        if 0 < left < seen:
+            flag = cut(flag)
+            seen, left = _tally(flag)
         if seen != active.count():
             raise ValueError(f"the condition has {seen} tags, {active.count()} are active")
         if left:
@@ -52,14 +61,16 @@ def lifted_do_while(ctx: Context, state: dict[str, InnerBag | InnerScalar], body
             going.known = left
         state = {}
         for n, v in out.items():
-            if left == seen:  # no tag has finished: nothing to part
-                state[n] = v if is_cut(v.df) else kinds[n](going, cut(v.df))
+            if left in (0, seen):  # all tags have finished, or none: nothing to part
+                whole = v.df if is_cut(v.df) else cut(v.df)
+                if left:
+                    state[n] = kinds[n](going, whole)
+                else:
+                    finished[n].append(whole)
                 continue
             both = cut(joined(v.df, flag, ctx.names))
             finished[n].append(both.where(~F.coalesce("__go", F.lit(False))).drop("__go"))
-            if left:
-                rest = both.where("__go").drop("__go")
-                state[n] = kinds[n](going, rest)
+            state[n] = kinds[n](going, both.where("__go").drop("__go"))
         if not left:
             break
         active = going

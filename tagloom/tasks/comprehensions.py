@@ -46,7 +46,7 @@ lang("group_having_order", "select (c, count/o) from (o,c,p) <- O group by c hav
 lang("group_key_expression", "select (k, count/o) from (o,c,p) <- O group by k: c % 10", ["k", "n"], "SELECT o_custkey % 10 AS k, count(*) AS n FROM orders GROUP BY 1")
 lang("nested_group_values", "select (r, joined(n)) from (k,n,r) <- N group by r", ["r", "n"], "SELECT n_regionkey AS r, string_agg(n_name, ',' ORDER BY n_name) AS n FROM nation GROUP BY 1", joined=lambda x: F.array_join(F.sort_array(x), ","))
 lang("distinct", "select distinct (f, s) from (o,f,s,q,d) <- L", ["f", "s"], "SELECT DISTINCT l_returnflag AS f, l_linestatus AS s FROM lineitem")
-lang("order_by", "select (p, o) from (o,c,p) <- O where c < 20 order by (p desc)", ["p", "o"], "SELECT o_totalprice AS p, o_orderkey AS o FROM orders WHERE o_custkey < 20")
+lang("order_by", "select (p, o) from (o,c,p) <- O order by (p desc)", ["p", "o"], "SELECT o_totalprice AS p, o_orderkey AS o FROM orders")
 lang("corr_scalar_sum", "select c from (k,c,n,b) <- C where b < +/(select p from (o,k2,p) <- O where k2 == k) / 100.0", ["c"], f"SELECT c_name AS c FROM {_CUSTOMERS} WHERE c_acctbal < coalesce((SELECT sum(o_totalprice) FROM orders WHERE o_custkey = c_custkey), 0) / 100.0")
 lang("corr_count_zero", "select (c, count/(select o from (o,k2,p) <- O where k2 == k && p > 200000.0)) from (k,c,n,b) <- C", ["c", "n"], f"SELECT c_name AS c, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS n FROM {_CUSTOMERS}")
 lang("nested_collect", "select (n, count/(select c from (k,c,a,b) <- C where a == i && b > 9000.0)) from (i,n,_) <- N", ["n", "rich"], f"SELECT n_name AS n, (SELECT count(*) FROM {_CUSTOMERS} WHERE c_nationkey = n_nationkey AND c_acctbal > 9000) AS rich FROM nation")

@@ -14,11 +14,11 @@ from tagloom.sources import generators
 from tagloom.streaming.incremental import incremental, latest, windowed
 
 
-@query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS total FROM orders WHERE o_custkey < 40 AND o_totalprice > 1000")
+@query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS total FROM orders WHERE o_totalprice > 1000")
 def lineage_group_sum(spark: SparkSession, sf: str) -> DataFrame:
     """Each sum with the orders behind it."""
     o = Traced.source(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "orders", ["o_orderkey"])
-    sums = o.where("o_custkey < 40 AND o_totalprice > 1000").group_by("o_custkey", total=F.round(F.sum("o_totalprice"), 2))
+    sums = o.where("o_totalprice > 1000").group_by("o_custkey", total=F.round(F.sum("o_totalprice"), 2))
     return sums.inputs().select("o_custkey", F.get_json_object("row", "$.o_orderkey").cast("long").alias("o_orderkey"), "total")
 
 
@@ -31,6 +31,15 @@ def lineage_join(spark: SparkSession, sf: str) -> DataFrame:
     return both.inputs().select("n_name", "r_name", "source", F.get_json_object("row", "$.id").cast("int").alias("id"))
 
 
+@query("""SELECT r_name, '{"group":[' || string_agg(t, ',' ORDER BY t) || ']}' AS tree FROM (SELECT r_name,
+    '{"join":[{"source":"nation","row":{"id":' || n_nationkey || '}},{"source":"region","row":{"id":' || r_regionkey || '}}]}' AS t FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY r_name""")
+def lineage_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Each region with the tree of its group: the joins in it, and the rows that they joined."""
+    n = Traced.source(table(spark, sf, "nation").select(F.col("n_regionkey").alias("k"), F.col("n_nationkey").alias("id")), "nation", ["id"], tree=True)
+    r = Traced.source(table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), "r_name", F.col("r_regionkey").alias("id")), "region", ["id"], tree=True)
+    return n.select("k").join(r.select("r_name", "k"), ["k"]).group_by("r_name").df.select("r_name", F.col("_tree").alias("tree"))
+
+
 @query("SELECT n_nationkey, 100.0 / nullif(n_regionkey, 0) AS x, CASE WHEN n_regionkey = 0 THEN 'division by zero' END AS error FROM nation")
 def lineage_error_rows(spark: SparkSession, sf: str) -> DataFrame:
     """A row whose expression fails is kept, with a message."""
@@ -46,9 +55,10 @@ def source_inclusive_range(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c AS cid, 1 AS components, 20 AS vertices FROM range(5) t(c)")
 def source_component_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Every generated component has all its vertices."""
-    g = generators.component_graph(spark, 5, 100, 60)
-    return g.groupBy("cid").agg(F.lit(1).alias("components"), F.count_distinct("src").cast("int").alias("vertices"))
+    """Every generated component has all its vertices and hangs together."""
+    g = cut(generators.component_graph(spark, 5, 100, 60).select("cid", "src", "dst"))
+    found = spread_least(g.select("src", "dst")).withColumnRenamed("v", "src")
+    return g.join(found, "src").groupBy("cid").agg(F.count_distinct("least").cast("int").alias("components"), F.count_distinct("src").cast("int").alias("vertices"))
 
 
 @query("SELECT c AS cid, greatest(2, floor(400 * (c + 1)::DOUBLE ** -1.2 / sum((c + 1)::DOUBLE ** -1.2) OVER ()))::BIGINT AS vertices FROM range(12) t(c)")

@@ -31,8 +31,10 @@ def pagerank_groups(edges: Nested, damping: float = 0.85, epsilon: float | None
         nonlocal done
         done += 1
         old = s["ranks"]
-        sent = old.join(InnerBag(ctx, links.df.withColumnRenamed("src", "page")), ["page"]).select(page="dst", part=F.col("rank") / F.col("degree"))
-        new = sent.group_by("page").agg(got=F.sum("part")).join(old.select("page", "n", old="rank"), ["page"])
+        sent = old.join(InnerBag(ctx, links.df.withColumnRenamed("src", "page")), ["page"])
+        # the self loops bring each page's old rank along, so one join is enough
+        own = F.max(F.when(F.col("page") == F.col("dst"), F.col("rank")))
+        new = sent.group_by(page="dst").agg(got=F.sum(F.col("rank") / F.col("degree")), n=F.max("n"), old=own)
         new = new.select("page", "n", "old", rank=F.lit(1 - damping) / F.col("n") + F.lit(damping) * F.col("got"))
         new = InnerBag(active, cut(new.df))
         go_on = active.const(done < steps) if steps is not None else new.sum(F.abs(F.col("rank") - F.col("old"))) > epsilon
@@ -54,11 +56,11 @@ def _pagerank_sql(steps: int) -> str:
         f"e0 AS ({_EDGES} UNION ALL SELECT g, dst, src FROM ({_EDGES}))",
         "pages AS (SELECT g, src AS page FROM e0 UNION SELECT g, dst FROM e0)",
         "n AS (SELECT g, count(*) AS n FROM pages GROUP BY g)",
-        "e AS (SELECT g, src, dst FROM e0 UNION ALL SELECT g, page, page FROM pages)",
-        "d AS (SELECT g, src, count(*) AS degree FROM e GROUP BY ALL)",
-        "r0 AS (SELECT g, page, 1.0::DOUBLE / n AS rank FROM pages JOIN n USING (g))",
+        "e AS MATERIALIZED (SELECT g, src, dst FROM e0 UNION ALL SELECT g, page, page FROM pages)",
+        "d AS MATERIALIZED (SELECT g, src, count(*) AS degree FROM e GROUP BY ALL)",
+        "r0 AS MATERIALIZED (SELECT g, page, 1.0::DOUBLE / n AS rank FROM pages JOIN n USING (g))",
     ]
-    parts += [f"r{i + 1} AS (SELECT e.g, e.dst AS page, 0.15::DOUBLE / any_value(n.n) + 0.85::DOUBLE * sum(r.rank / d.degree) AS rank FROM e JOIN d ON e.g = d.g AND e.src = d.src JOIN r{i} r ON r.g = e.g AND r.page = e.src JOIN n ON n.g = e.g GROUP BY e.g, e.dst)" for i in range(steps)]
+    parts += [f"r{i + 1} AS MATERIALIZED (SELECT e.g, e.dst AS page, 0.15::DOUBLE / any_value(n.n) + 0.85::DOUBLE * sum(r.rank / d.degree) AS rank FROM e JOIN d ON e.g = d.g AND e.src = d.src JOIN r{i} r ON r.g = e.g AND r.page = e.src JOIN n ON n.g = e.g GROUP BY e.g, e.dst)" for i in range(steps)]
     return "WITH " + ", ".join(parts)
 
 
@@ -67,12 +69,15 @@ def pagerank_per_group(spark: SparkSession, sf: str) -> DataFrame:
     return pagerank_groups(_line_edges(spark, sf), steps=4).with_columns(rank=F.round("rank", 9)).unlift()
 
 
-@query(_pagerank_sql(0) + " SELECT g AS l_returnflag, count(*) AS pages, 1.0::DOUBLE AS total FROM pages GROUP BY g")
+_EPSILON, _ENOUGH = 0.1, 20  # a step moves at most 2 * 0.85 ** step, so 20 steps are always enough
+_MOVED = " UNION ALL ".join(f"SELECT a.g, {i} AS step, sum(abs(a.rank - b.rank)) AS moved FROM r{i} a JOIN r{i - 1} b USING (g, page) GROUP BY a.g" for i in range(1, _ENOUGH + 1))
+_ALL_RANKS = " UNION ALL ".join(f"SELECT g, {i} AS step, page, rank FROM r{i}" for i in range(1, _ENOUGH + 1))
+
+
+@query(_pagerank_sql(_ENOUGH) + f", last AS (SELECT g, min(step) AS step FROM ({_MOVED}) WHERE moved <= {_EPSILON} GROUP BY g) SELECT g AS l_returnflag, page, round(rank, 9) AS rank FROM ({_ALL_RANKS}) JOIN last USING (g, step)")
 def pagerank_per_group_until_stable(spark: SparkSession, sf: str) -> DataFrame:
-    """Each group iterates until its own ranks move less than epsilon in all; the ranks still add up to 1."""
-    ranks = pagerank_groups(_line_edges(spark, sf), epsilon=0.1)
-    both = ranks.count("drop").binary(ranks.sum("rank"), lambda n, s: F.struct(n.alias("pages"), F.round(s, 6).alias("total")))
-    return both.unlift().select("l_returnflag", "value.*")
+    """Each group iterates until its own ranks move by no more than epsilon in all."""
+    return pagerank_groups(_line_edges(spark, sf), epsilon=_EPSILON).with_columns(rank=F.round("rank", 9)).unlift()
 
 
 # ---------------------------------------------------------------- k-means, many initialisations
@@ -147,26 +152,30 @@ def average_distances(graphs: Nested, sources: InnerBag, dedupe: bool = True) ->
     """Mean breadth-first distance from each group's sources (``source``) to what they reach, the source itself included.
 
     Tags are (group, source); all searches of all groups advance together and
-    each ends when its own frontier is empty. ``dedupe=False`` counts a vertex
-    once for each shortest path, as a frontier with repeats does.
+    each ends when its own frontier is empty. A step is one join with the edges and
+    one aggregate that keeps each vertex's least distance. ``dedupe=False`` counts
+    a vertex once for each shortest path, as a frontier with repeats would.
     """
     group = graphs.ctx.names
     names = (*group, "source")
     ctx = Context(sources.df.select(*names), names)
     edges = graphs.inner.prepared("src")
-    start = ctx.tags.withColumns({"vertex": F.col("source"), "distance": F.lit(0)})
-    state = {"seen": InnerBag(ctx, start), "frontier": InnerBag(ctx, start)}
+    state = {"seen": InnerBag(ctx, ctx.tags.withColumns({"vertex": F.col("source"), "distance": F.lit(0), "paths": F.lit(1.0)}))}
+    level = 0
 
     def body(active: Context, s: dict):
-        frontier = InnerBag(active, s["frontier"].df.withColumnRenamed("vertex", "src"))
-        reached = frontier.join(edges, ["src"]).select(vertex="dst", distance=F.col("distance") + 1)
-        if dedupe:
-            reached = reached.distinct()
-        new = InnerBag(active, cut(reached.join(s["seen"], ["vertex"], "left_anti").df))
-        return {"seen": InnerBag(active, s["seen"].union(new).df), "frontier": new}, ~new.is_empty()
-
-    seen = lifted_do_while(ctx, state, body)["seen"]
-    return InnerBag(graphs.ctx, seen.df).avg("distance")
+        nonlocal level
+        seen = InnerBag(active, s["seen"].df)
+        frontier = seen.where(F.col("distance") == level).select("paths", src="vertex")
+        level += 1
+        reached = frontier.join(edges, ["src"]).select(vertex="dst", distance=F.lit(level), paths="paths")
+        earlier = F.max(F.when(F.col("distance") < level, F.col("paths")))
+        paths = F.coalesce(earlier, F.lit(1.0) if dedupe else F.sum("paths"))
+        new = InnerBag(active, cut(seen.union(reached).group_by("vertex").agg(distance=F.min("distance"), paths=paths).df))
+        return {"seen": new}, new.max("distance").equals(level)
+
+    seen = InnerBag(graphs.ctx, lifted_do_while(ctx, state, body)["seen"].df)
+    return seen.sum(F.col("distance") * F.col("paths")) / seen.sum("paths")
 
 
 def _trade(spark: SparkSession, sf: str) -> DataFrame:
