@@ -11,13 +11,19 @@ from tagloom.operators.nested import Context, InnerBag, InnerScalar, Nested, joi
 from tagloom.registry import query, table
 from tagloom.session import cut
 
+def both_ways(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """Every edge and its reverse, by one pass over the edges."""
+    ends = F.explode(F.array(F.struct(F.col(src).alias("__a"), F.col(dst).alias("__b")), F.struct(F.col(dst).alias("__a"), F.col(src).alias("__b"))))
+    return edges.withColumn("__ends", ends).withColumns({src: F.col("__ends.__a"), dst: F.col("__ends.__b")}).drop("__ends")
+
+
 # ---------------------------------------------------------------- PageRank per group
 
 
 def pagerank_groups(edges: Nested, damping: float = 0.85, epsilon: float | None = None, steps: int | None = None) -> InnerBag:
     """``page, rank`` of every group's graph (bag of src, dst); each group stops on its own, by ``epsilon`` or after ``steps``."""
     ctx = edges.ctx
-    pages = edges.inner.select(page="src").union(edges.inner.select(page="dst")).distinct()
+    pages = InnerBag(ctx, cut(edges.inner.explode("page", F.array("src", "dst")).select("page").distinct().df))
     # a self loop for every page, so no rank is lost; repeated edges count
     links = edges.inner.select("src", "dst").union(pages.select(src="page", dst="page"))
     degrees = links.group_by("src").agg(degree=F.count(F.lit(1)))
@@ -45,7 +51,7 @@ def pagerank_groups(edges: Nested, damping: float = 0.85, epsilon: float | None
 
 def _line_edges(spark: SparkSession, sf: str) -> Nested:
     x = table(spark, sf, "lineitem").select("l_returnflag", F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
-    return nest(x.union(x.select("l_returnflag", "dst", "src")), "l_returnflag")
+    return nest(both_ways(x), "l_returnflag")
 
 
 _EDGES = "SELECT l_returnflag AS g, 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem"
@@ -182,7 +188,7 @@ def _trade(spark: SparkSession, sf: str) -> DataFrame:
     """Customers and suppliers that traded, by the customer's nation."""
     o, c, l = (table(spark, sf, t) for t in ("orders", "customer", "lineitem"))
     x = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).select("c_nationkey", F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
-    return x.union(x.select("c_nationkey", "dst", "src"))
+    return both_ways(x)
 
 
 def _first_sources(graphs: Nested, n: int) -> InnerBag:
