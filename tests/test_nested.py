@@ -1,9 +1,14 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.catalogue import QUERIES
 from tagloom.functions import monoids
+from tagloom.lineage import Traced
 from tagloom.operators.control import lifted_do_while, repeat
 from tagloom.operators.nested import Context, InnerBag, InnerScalar, nest
+from tagloom.tasks.workloads import average_distances
 
 
 @pytest.fixture(scope="module")
@@ -68,6 +73,33 @@ def test_semigroup_of_nothing(spark):
         none.agg(monoids.get("max").agg(F.col("x"), strict=True)).collect()
 
 
+def test_trees_of_outer_joins_and_groups(spark):
+    a = Traced.source(spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string"), "A", ["k"], tree=True)
+    b = Traced.source(spark.createDataFrame([(1, 5)], "k int, b int"), "B", ["k"], tree=True)
+    got = {r["k"]: r["_tree"] for r in a.join(b, ["k"], "left").df.collect()}
+    assert json.loads(got[1]) == {"join": [{"source": "A", "row": {"k": 1}}, {"source": "B", "row": {"k": 1}}]}
+    assert json.loads(got[2]) == {"join": [{"source": "A", "row": {"k": 2}}]}
+    whole = a.group_by(F.lit(0).alias("g")).df.first()
+    assert json.loads(whole["_tree"]) == {"group": [{"source": "A", "row": {"k": 1}}, {"source": "A", "row": {"k": 2}}]}
+    assert [r["k"] for r in a.join(b, ["k"], "left_anti").inputs().select("k").collect()] == [2]
+    with pytest.raises(ValueError, match="a tree"):
+        a.join(Traced.source(spark.range(1).withColumnRenamed("id", "k"), "C"), ["k"])
+
+
+def test_shortest_paths_count_once_or_each(spark):
+    # from 1 two paths lead to 4, and one from there to 5
+    edges = spark.createDataFrame([("g", a, b) for a, b in [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 1)]], "g string, src int, dst int")
+    graphs = nest(edges, "g")
+    sources = InnerBag(graphs.ctx, spark.createDataFrame([("g", 1)], "g string, source int"))
+    assert values(average_distances(graphs, sources)) == {"g": (0 + 1 + 1 + 2 + 3) / 5}
+    assert values(average_distances(graphs, sources, dedupe=False)) == {"g": (0 + 1 + 1 + 2 * 2 + 2 * 3) / 7}
+
+
+def test_order_by(spark, sf):
+    prices = [r["p"] for r in QUERIES["lang_order_by"](spark, sf).collect()]
+    assert len(prices) == spark.read.parquet(f"{sf}/orders.parquet").count() and prices == sorted(prices, reverse=True)
+
+
 def test_lifted_equals_loop_over_groups(spark, sf):
     df = spark.read.parquet(f"{sf}/events.parquet").select("event_type", "user_id")
     g = nest(df, "event_type")
