@@ -3,17 +3,24 @@
 The rounds are plain joins and aggregates (map-side combined, so a hub costs one
 row a task), each cut by a reliable checkpoint.  ``forest`` contracts the links
 that one task knows to a spanning forest, so a dense group never travels as all
-its pairs.
+its pairs.  What the tasks' forests leave, where it is counted and found small,
+is solved by one task: a round has a dozen exchanges, whose files outweigh it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm import common as C
 
+ALONE = 1_000_000  #: edges that one task solves (16 MB)
+PART = 1_000_000  #: links that a task gathers before it contracts them
+
 
 def labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The smallest node of each node's component among ``n`` nodes."""
@@ -43,10 +50,31 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[parent[moved]]
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """``node, component`` of every node of an edge list; the component is its smallest node."""
-    now = edges.select(F.greatest(u, v).alias("v"), F.least(u, v).alias("u")).where("u < v").distinct()
-    now = C.checkpoint(now)
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's links as a forest, (larger node, smaller node); edges of ``PART`` links at most are held besides it."""
+    v, u, more = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    for b in batches:
+        more.append((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)))
+        if sum(len(x) for x, _ in more) >= PART:
+            v, u = forest(*(np.concatenate([a, *(m[i] for m in more)]) for i, a in enumerate((v, u))))
+            more = []
+    v, u = forest(*(np.concatenate([a, *(m[i] for m in more)]) for i, a in enumerate((v, u))))
+    if len(v):
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], ["v", "u"])
+
+
+def components(edges: DataFrame, u: str = "u", v: str = "v", alone: int = ALONE) -> DataFrame:
+    """``node, component`` of every node of an edge list; the component is its smallest node.
+
+    Up to ``alone`` edges (after each task's contraction) are solved by one task, more by rounds.
+    """
+    C.importable(edges)
+    now = edges.select(F.greatest(u, v).cast("long").alias("v"), F.least(u, v).cast("long").alias("u")).where("u < v")
+    now = C.checkpoint(now.mapInArrow(lambda b: C.released(_forests(b)), "v long, u long"))
+    if now.count() <= alone:  # proven bound
+        solved = C.checkpoint(now.coalesce(1).mapInArrow(lambda b: C.released(_forests(b)), "v long, u long"))
+        C.forget(now)
+        return solved.select(F.col("v").alias("node"), F.col("u").alias("component")).union(solved.select("u", "u").distinct())
     before = None
     while True:
         # large star: every larger neighbour of a node hangs on to the least of the node's neighbourhood

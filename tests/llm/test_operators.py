@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,18 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_alone_and_by_rounds(spark):
+    """Few edges are solved without a shuffle; more, by rounds, with the same result."""
+    rng = random.Random(3)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)]
+    edges = spark.createDataFrame(pairs, "u long, v long").repartition(16)
+    sc = spark.sparkContext._jsc.sc()
+    before = sc.newShuffleId()
+    found = components.components(edges)
+    assert sc.newShuffleId() - before <= 3
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in components.components(edges, alone=0).collect()}
+
+
 # ---------------------------------------------------------------- 1 toxicity
 
 
