@@ -7,10 +7,12 @@ Routing (exact).  In any fixed order of all shingles, two sets that link share
 one of their first n - ceil(0.8 n) + 1.  The order is: shingles that are
 frequent in a bounded sample last, then by hash; the sample only shapes the
 order, so it decides how much work there is and never what is found.  A
-partition packs its prefix entries for each bucket of the hash space, each set
-once, with its counting bitmap; equal sets are one entry.
+partition packs its prefix entries for each bucket of the hash space: shingles,
+keys and sizes of sets, equal sets once.  A bucket finds the groups of sets that
+share a shingle; equal groups (near copies share many) become one, and only their
+sets get counting bitmaps, so what travels doesn't grow with the buckets.
 
-Pruning.  In a bucket the sets that share a shingle are compared by a signature
+Pruning.  The sets of such a group are compared by a signature
 tree: its nodes hold the OR of their sets' bitmaps (unary counters, so the OR is
 the largest count of each cell) and the range of sizes.  A dual traversal drops
 a pair of nodes when the overlap that sizes and bitmaps allow is too small, and
@@ -201,20 +203,23 @@ def dual(a: Node, b: Node, sig: Signatures, forest: Forest, percent: int, links=
 def _documents(width: int):
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, key = [], []
+            n, key, maps, fine = [], [], [], []
             for s in shingle_sets(b.column(1), width):
                 n.append(len(s))
                 key.append(int(set_hash(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64())], ["doc_id", "n", "key"])
+                maps.append(bitmap(s, CELLS).tobytes() if len(s) else None)
+                fine.append(bitmap(s, LONG_CELLS).tobytes() if len(s) >= LONG else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(maps, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "n", "key", "map", "fine"])
 
     return lambda b: C.released(documents(b))
 
 
 def _prefixes(width: int, percent: int, buckets: int, frequent: np.ndarray):
     cuts = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
+    shift = np.uint64(max(0, 64 - (buckets.bit_length() - 1) - 31))  # 32 bits tell a bucket's shingles apart; two that they don't are only compared more
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sizes, keys, maps, longs, seen = [], [], [], [], {}, set()
+        tokens, sizes, keys, seen = [], [], [], set()
         for b in batches:
             for s in shingle_sets(b.column(0), width):
                 n = len(s)
@@ -224,15 +229,10 @@ def _prefixes(width: int, percent: int, buckets: int, frequent: np.ndarray):
                 seen.add(key)
                 if len(frequent):
                     hot = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                    s, whole = np.concatenate([s[~hot], s[hot]]), s
-                else:
-                    whole = s
+                    s = np.concatenate([s[~hot], s[hot]])
                 tokens.append(s[: n - -(-n * percent // 100) + 1])
-                if n >= LONG:
-                    longs[len(keys)] = bitmap(whole, LONG_CELLS)
                 sizes.append(n)
                 keys.append(key)
-                maps.append(bitmap(whole, CELLS))
         if not keys:
             return
         owner = np.repeat(np.arange(len(keys)), [len(t) for t in tokens])
@@ -240,13 +240,13 @@ def _prefixes(width: int, percent: int, buckets: int, frequent: np.ndarray):
         order = np.argsort(token, kind="stable")
         token, owner = token[order], owner[order]
         edges = np.concatenate([[0], np.searchsorted(token, cuts), [len(token)]])
-        keys_, sizes_, maps_ = np.array(keys, np.int64), np.array(sizes, np.int64), np.stack(maps)
+        keys_, sizes_ = np.array(keys, np.int64), np.array(sizes, np.int64)
         for k in range(buckets):
             lo, hi = int(edges[k]), int(edges[k + 1])
             if hi > lo:
                 used, index = np.unique(owner[lo:hi], return_inverse=True)
-                fine = [longs[i] for i in used.tolist() if i in longs]
-                data = C.pack(token[lo:hi], index.astype(np.uint32), keys_[used], sizes_[used], maps_[used].reshape(-1), np.concatenate(fine) if fine else np.zeros(0, np.uint8))
+                short = ((token[lo:hi] - (cuts[k - 1] if k else np.uint64(0))) >> shift).astype(np.uint32)
+                data = C.pack(short, index.astype(np.uint32), keys_[used], sizes_[used])
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["bucket", "payload"])
 
     return lambda b: C.released(send(b))
@@ -261,24 +261,91 @@ def _pairs_of_small(groups: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, n
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _candidates(percent: int):
+def _shared(percent: int):
+    """The groups of sets that share a shingle and whose sizes allow a link, each once a task: a hash of the group, and its keys."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, base = [], 0
         for b in batches:
-            for payload in b.column(1).to_pylist():
-                token, index, keys, sizes, maps, fine = C.unpack(payload)
-                parts.append((token, index.astype(np.int64) + base, keys, sizes, maps.reshape(-1, CELLS), fine.reshape(-1, LONG_CELLS)))
+            for bucket, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                token, index, keys, sizes = C.unpack(payload)
+                parts.append((token.astype(np.int64) + (np.int64(bucket) << 32), index.astype(np.int64) + base, keys, sizes))
                 base += len(keys)
         if not parts:
             return
-        token, index, keys, sizes, maps, fine = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        token, index, keys, sizes = (np.concatenate([p[i] for p in parts]) for i in range(4))
         del parts
-        where = np.full(len(sizes), -1, np.int64)
-        where[sizes >= LONG] = np.arange(int((sizes >= LONG).sum()))
         keys, one, which = np.unique(keys, return_index=True, return_inverse=True)
-        sig = Signatures(sizes[one], maps[one], where[one], fine)
-        del maps
-        index = which[index]
+        sizes, index = sizes[one], which[index]
+        order = np.lexsort((index, sizes[index], token))
+        token, index = token[order], index[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (index[1:] != index[:-1])
+        token, index = token[new], index[new]
+        size = sizes[index]
+        # in order of size: where one can't link with the next, none before can link with any after
+        first = np.ones(len(token), bool)
+        first[1:] = (token[1:] != token[:-1]) | (100 * size[:-1] < percent * size[1:])
+        starts = np.flatnonzero(first)
+        counts = np.diff(np.append(starts, len(token)))
+        names = np.add.reduceat(C.mix(keys[index].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), starts)
+        names = C.mix(names + counts.astype(np.uint64))
+        some = np.flatnonzero(counts > 1)
+        some = some[np.unique(names[some], return_index=True)[1]]
+        lo = 0
+        ends = np.cumsum(counts[some])
+        while lo < len(some):  # about a million keys at a time
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 1_000_000, "right")))
+            part = some[lo:hi]
+            n = counts[part]
+            offsets = np.concatenate([[0], np.cumsum(n)])
+            at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n) + np.repeat(starts[part], n)
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer((offsets * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(keys[index[at]]))])
+            yield pa.RecordBatch.from_arrays([pa.array(names[part].view(np.int64)), data.cast(pa.binary())], ["g", "keys"])
+            lo = hi
+
+    return lambda b: C.released(find(b))
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``g, key`` of each group once; rows of a group are in one task."""
+    seen: set[int] = set()
+    for b in batches:
+        names, keys = [], []
+        for g, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if g not in seen:
+                seen.add(g)
+                names.append(g)
+                keys.append(np.frombuffer(data.as_buffer(), np.int64))
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), [len(k) for k in keys])), pa.array(np.concatenate(keys))], ["g", "key"])
+
+
+def _candidates(percent: int):
+    """Pairs that may link, as a forest, of rows ``g, key, n, map, fine``."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, index, keys, sizes, maps, fine, at = [], [], [], [], [], [], {}
+        for b in batches:
+            token.append(b.column(0).to_numpy(zero_copy_only=False))
+            names, place = b.column(1).to_pylist(), []
+            for k, key in enumerate(names):
+                if key not in at:  # a set's bitmaps are kept once
+                    at[key] = len(keys)
+                    keys.append(key)
+                    sizes.append(b.column(2)[k].as_py())
+                    maps.append(np.frombuffer(b.column(3)[k].as_py(), np.uint8))
+                    if sizes[-1] >= LONG:
+                        fine.append(np.frombuffer(b.column(4)[k].as_py(), np.uint8))
+                place.append(at[key])
+            index.append(np.array(place, np.int64))
+        if not keys:
+            return
+        token, index, keys, sizes = np.concatenate(token), np.concatenate(index), np.array(keys, np.int64), np.array(sizes, np.int64)
+        where = np.full(len(sizes), -1, np.int64)
+        where[sizes >= LONG] = np.arange(len(fine))
+        sig = Signatures(sizes, np.stack(maps), where, np.stack(fine) if fine else np.zeros((0, LONG_CELLS), np.uint8))
+        del maps, fine, at
         order = np.lexsort((index, token))
         token, index = token[order], index[order]
         new = np.ones(len(token), bool)
@@ -423,11 +490,18 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     C.importable(docs)
     n = C.partitions_for(docs)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = C.checkpoint(source.mapInArrow(_documents(width), "doc_id long, n long, key long"))
+    signed = C.checkpoint(source.mapInArrow(_documents(width), "doc_id long, n long, key long, map binary, fine binary"))
+    table = signed.select("doc_id", "n", "key")
     known = source.where("doc_id is not null")
     frequent = frequent_shingles(known, width, sample_rows, share, most_frequent)
     sent = known.select("text").mapInArrow(_prefixes(width, percent, n, frequent), "bucket int, payload binary").repartition(n, "bucket")
-    maybe = C.checkpoint(sent.mapInArrow(_candidates(percent), "u long, v long"))
+    shared = sent.mapInArrow(_shared(percent), "g long, keys binary").repartition(n, "g")
+    asked = C.checkpoint(shared.mapInArrow(lambda b: C.released(_members(b)), "g long, key long"))
+    # a set's signature, of one of its rows, travels only if it shares a shingle
+    wanted = signed.where("key is not null").join(asked.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "map", "fine")
+    compared = asked.join(wanted, "key").select("g", "key", "n", "map", "fine").repartition(n, "g")
+    maybe = C.checkpoint(compared.mapInArrow(_candidates(percent), "u long, v long"))
+    C.forget(asked)
     groups = C.checkpoint(G.components(maybe).withColumnRenamed("node", "key").withColumnRenamed("component", "comp"))
     C.forget(maybe)
     # one row for each set, however many documents have it

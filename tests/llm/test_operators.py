@@ -100,6 +100,16 @@ def test_components_alone_and_by_rounds(spark):
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in components.components(edges, alone=0).collect()}
 
 
+def test_ngram_routing_without_bitmaps(spark):
+    """What a task sends to buckets holds no bitmaps, so it grows little with the number of buckets."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(1500)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    size = {n: sum(len(x) for b in ngram_join._prefixes(5, 80, n, np.zeros(0, np.uint64))([batch]) for x in b.column(1).to_pylist()) for n in (8, 64)}
+    tokens = 40 * 300
+    assert size[8] < 8 * tokens and size[64] < 16 * tokens
+
+
 # ---------------------------------------------------------------- 1 toxicity
 
 
