@@ -8,7 +8,10 @@ Every statement runs for all iterations of its loops at once, before the next
 statement starts.  A loop over a range isn't a product with the range: an array
 that is read at an index is scanned, the loop variable is taken from its index,
 and the range becomes a condition.  Two reads of one array at the same index
-share one scan.  Reads of absent cells contribute nothing; ``:=`` on an array is
+share one scan.  Where two matrices share one index that is added up (a matrix
+product), and the products outnumber what two grids of blocks hold, the blocks
+travel and the products are combined where they arise.  What the last statement
+writes is not cut: its plan can't grow any more.  Reads of absent cells contribute nothing; ``:=`` on an array is
 a right-biased merge, ``+=`` groups by the destination and merges with the
 operator.  ``x := x + e`` is an increment for associative operators; ``x := x - e``
 adds -e; other such updates inside of a loop are errors.
@@ -17,6 +20,7 @@ adds -e; other such updates inside of a loop are errors.
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,13 +153,20 @@ class LoopParser(Parser):
 class Program:
     """Runs a parsed program; ``env`` holds arrays (DataFrames), values, and functions on Columns."""
 
+    BLOCK, BLOCKED_FROM = 16_000_000, 100_000_000  #: products of a block; products from which there are blocks
+
     def __init__(self, spark: SparkSession, env: dict[str, object], ops=None):
+        self.last = False
         self.spark, self.env, self.ops = spark, dict(env), ops or {}
         self.kinds: dict[str, tuple] = {}
         self.extents: dict[tuple[str, str], tuple[DataFrame, int]] = {}
 
     def run(self, statements: list) -> dict[str, object]:
-        for s in statements:
+        for k, s in enumerate(statements):
+            inner = s
+            while inner[0] == "for":
+                inner = inner[3]
+            self.last = k == len(statements) - 1 and inner[0] in ("inc", "set")
             self.execute(s, [])
         return self.env
 
@@ -259,6 +270,7 @@ class Program:
                 value = _SQL.get(args[-1][0], "double")
                 index = "i bigint" if kind == "vector" else "i bigint, j bigint" if kind == "matrix" else f"k {_SQL.get(args[0][0], 'string')}"
                 self.env[n] = self.spark.createDataFrame([], f"{index}, v {value}")
+                self.env[n]._tagloom_empty = True
             else:
                 self.env[n] = self.env[init[1]]
         elif init is not None:
@@ -282,6 +294,9 @@ class Program:
             return
         if op is None and dest[0] == "var":
             raise SyntaxError(f"{target} := ... inside a loop has no order: use an increment")
+        if op is not None and len(indices) == 2 and (new := self.product(target, op, indices, e, around)) is not None:
+            self.write(target, new, op)
+            return
         row, columns = self.context(around, [*indices, e])
         *at, value = columns
         if dest[0] == "var":
@@ -294,7 +309,63 @@ class Program:
             new = new.groupBy(*keys).agg(monoids.get(op).agg(F.col("v"), zero=False).alias("v"))
         elif not self.unique(indices, around):
             new = new.groupBy(*keys).agg(F.max("v").alias("v"))  # no order among iterations: the largest
-        self.env[target] = cut(merge(old, new, op))
+        self.write(target, new, op)
+
+    def write(self, target: str, new: DataFrame, op: str | None) -> None:
+        """The cells of ``new`` merged into an array; an array that is still empty becomes ``new``."""
+        old = self.env[target]
+        out = new.select(*[F.col(f.name).cast(f.dataType) for f in old.schema]) if getattr(old, "_tagloom_empty", False) else merge(old, new, op)
+        self.env[target] = out if self.last else cut(out)
+
+    def product(self, target: str, op: str, indices: list, e, around: list) -> DataFrame | None:
+        """``C[p,q] += e`` over p, q, k where e reads X at p and k and Y at k and q, by blocks; None where that isn't the form, or isn't less.
+
+        Rows of X are dealt to R row blocks and copied for each of C column blocks, those
+        of Y the other way round; a task joins and combines all products of its cells.
+        """
+        if any(a[0] != "loop" or a[1][0] != "var" or a[2][0] != "range" for a in around):
+            return None
+        ranges = {a[1][1]: self.sized(a[2][1], self.env) for a in around}
+        seen: dict[str, str] = {}
+        value = self.reads(self.sized(e, self.env), seen)
+        found = [(name, *self.keys[k]) for k, name in seen.items()]
+        if len(found) != 2 or any(len(i) != 2 or any(v[0] != "var" for v in i) for _, _, i in found) or any(v[0] != "var" for v in indices):
+            return None
+        names = [[v[1] for v in i] for _, _, i in found]
+        both, every, dest = set(names[0]) & set(names[1]), {*names[0], *names[1]}, [v[1] for v in indices]
+        if len(both) != 1 or len(every) != 3 or every != ranges.keys() or len(around) != 3 or len(set(dest)) != 2 or set(dest) != every - both or any(free(b) & every for r in ranges.values() for b in r):
+            return None
+        shared, compiler, sides = both.pop(), Compiler(self.spark, self.env, self.ops), []
+        for (_, array, _), own, index, read in zip(found, names, ("__p", "__q"), ("__a", "__b"), strict=True):
+            df = self.env[array]
+            x = df.select(*[F.col(c).cast("long").alias("__k" if v == shared else index) for c, v in zip(index_columns(df), own, strict=True)], F.col("v").alias(read))
+            for v, c in ((shared, "__k"), (next(v for v in own if v != shared), index)):
+                x = x.where(in_range(F.col(c), *[compiler.eval(b, Row(x, {}))[0] for b in ranges[v]]))
+            sides.append(x)
+        x, y = sides
+        counts = x.groupBy("__k").agg(F.count("*").alias("m")).join(y.groupBy("__k").agg(F.count("*").alias("n")), "__k")
+        total, m, n, low, high = counts.agg(F.sum(F.col("m").cast("double") * F.col("n")), F.sum("m"), F.sum("n"), F.min("__k"), F.max("__k")).first()
+        if total is None or total <= self.BLOCKED_FROM:
+            return None
+        blocks = math.ceil(total / self.BLOCK)
+        rows = min(blocks, max(1, round(math.sqrt(blocks * m / n))))
+        cols = math.ceil(blocks / rows)
+        if m * cols + n * rows >= total:
+            return None
+        block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+        copies = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        x = x.where(F.col("__k").between(low, high)).withColumn("__r", block("__p", rows)).withColumn("__c", copies(cols))
+        y = y.where(F.col("__k").between(low, high)).withColumn("__c", block("__q", cols)).withColumn("__r", copies(rows))
+        tasks = 4 * rows * cols  # few blocks share a task
+        # else the join deals both sides anew by all its keys, and all products are dealt once more by their cells
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        df = x.repartition(tasks, "__r", "__c").join(y.repartition(tasks, "__r", "__c"), ["__r", "__c", "__k"])
+        at = {shared: F.col("__k"), **{v: F.col(c) for own, c in zip(names, ("__p", "__q"), strict=True) for v in own if v != shared}}
+        got, row = compiler.eval(value, Row(df, at | {found[0][0]: F.col("__a"), found[1][0]: F.col("__b")}))
+        old = self.env[target]
+        keys = index_columns(old)
+        new = row.df.select("__r", "__c", *[at[v].alias(k) for v, k in zip(dest, keys, strict=True)], got.cast(old.schema["v"].dataType).alias("v"))
+        return new.groupBy("__r", "__c", *keys).agg(monoids.get(op).agg(F.col("v"), zero=False).alias("v")).select(*keys, "v")
 
     @staticmethod
     def unique(indices: list, around: list) -> bool:

@@ -9,7 +9,7 @@ from tagloom.functions.columns import links
 from tagloom.loops.program import program
 from tagloom.operators import arrays
 from tagloom.registry import query, table
-from tagloom.session import cut
+from tagloom.session import cut, stored
 
 
 def _one(spark: SparkSession, **values: object) -> DataFrame:
@@ -116,7 +116,7 @@ def loop_pagerank(spark: SparkSession, sf: str) -> DataFrame:
 
 def _matrix(spark: SparkSession, sf: str, extra: int = 0) -> DataFrame:
     x = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") + extra).alias("j"), "l_quantity")
-    return cut(x.groupBy("i", "j").agg(F.sum("l_quantity").alias("v")))
+    return stored(x.groupBy("i", "j").agg(F.sum("l_quantity").alias("v")))
 
 
 def _cells(extra: int = 0) -> str:
@@ -126,8 +126,10 @@ def _cells(extra: int = 0) -> str:
 @query(f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {_cells()} a JOIN {_cells(1)} b ON a.j = b.i GROUP BY ALL")
 def loop_matrix_multiply(spark: SparkSession, sf: str) -> DataFrame:
     """Cells that no product reaches stay absent: explicit zeros would be suppliers x parts many."""
-    m, n = _matrix(spark, sf), _matrix(spark, sf, 1)
-    i, k, j = m.agg(F.max("i"), F.max("j")).first() + n.agg(F.max("j")).first()
+    m = _matrix(spark, sf)
+    n = m.withColumn("j", F.col("j") + 1)
+    i, k = m.agg(F.max("i"), F.max("j")).first()
+    j = None if k is None else k + 1
     text = "var Z: matrix[Double] = matrix(); for part = 0, parts do for row = 0, rows do for col = 0, cols do Z[row,col] += N[part,col] * M[row,part];"
     return program(spark, text, M=m, N=n, rows=i, cols=j, parts=k)["Z"]
 

@@ -1,11 +1,13 @@
 """The query and loop languages over a small table of stations, against answers made in plain Python."""
 
+import random
+
 import pytest
 
 from tagloom.functions import monoids
 from tagloom.lang.query import debug, define, queries, query
 from tagloom.lang.syntax import Parser
-from tagloom.loops.program import program
+from tagloom.loops.program import Program, program
 from tagloom.streaming.incremental import monoid_of
 
 # name, line, height, temperatures
@@ -172,3 +174,27 @@ def test_sizes_expressions_and_functions(spark, capsys):
     assert "3.0" in capsys.readouterr().out
     with pytest.raises(SyntaxError):
         program(spark, "var s: Double = 0.0; for i = 0, 3 do s + 1.0;")
+
+
+def test_product_by_blocks(spark, monkeypatch):
+    """A product's cells are combined where its blocks meet: two exchanges of the factors, none of products, no cut of the result."""
+    rng = random.Random(5)
+    a = {(rng.randrange(9), rng.randrange(12)): rng.randrange(1, 9) for _ in range(300)}
+    b = {(rng.randrange(3, 14), rng.randrange(10)): rng.randrange(1, 9) for _ in range(300)}
+    frame = lambda m: spark.createDataFrame([(i, j, float(v)) for (i, j), v in m.items()], "i int, j int, v double")
+    want: dict = {}
+    for (i, k), v in a.items():
+        for (k2, j), w in b.items():
+            if k == k2 and i <= 7:
+                want[i, j] = want.get((i, j), 0) + v * w
+    monkeypatch.setattr(Program, "BLOCK", 200)
+    monkeypatch.setattr(Program, "BLOCKED_FROM", 0)
+    for text in ("Z[r,c] += A[r,k]*B[k,c]", "Z[c,r] += B[k,c]*A[r,k]"):
+        z = program(spark, f"var Z: matrix[Double] = matrix(); for k = 0, 20 do for r = 0, 7 do for c = 0, 20 do {text};", A=frame(a), B=frame(b))["Z"]
+        plan = z._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(__r") == 2 and plan.count("Exchange") == 2
+        got = {(r.i, r.j): r.v for r in z.collect()}
+        assert got == (want if text.startswith("Z[r") else {(j, i): v for (i, j), v in want.items()})
+        more = program(spark, f"for k = 0, 20 do for r = 0, 7 do for c = 0, 20 do {text};", A=frame(a), B=frame(b), Z=frame({(0, 0): 1, (90, 90): 2}))["Z"]
+        more = {(r.i, r.j): r.v for r in more.collect()}
+        assert more == {k: got.get(k, 0) + {(0, 0): 1, (90, 90): 2}.get(k, 0) for k in got.keys() | {(0, 0), (90, 90)}}
